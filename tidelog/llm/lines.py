@@ -61,6 +61,13 @@ def drop_boilerplate(pages: DataFrame, *, host: Column | str = "source", text_co
     return joined.select(*out)
 
 
+def with_lengths(pages: DataFrame, like: DataFrame, *, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``pages`` with the characters of its texts counted anew, if ``like`` has such a column."""
+    if length_col not in like.columns:
+        return pages
+    return pages.withColumn(length_col, F.length(text_col).cast(like.schema[length_col].dataType))
+
+
 ORACLE = """
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
