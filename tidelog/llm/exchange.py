@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from . import store
 
 ROW = "bucket int, block long, kind string, payload binary"
-BLOCK_BYTES = 24 << 20
+#: Text that a block holds, unless one document has more.
+BLOCK_BYTES = 12 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .exchange import gaps, pack, slices, sums, unpack
-from .words import mix, word_hashes
+from .words import mix, pieces, word_hashes
 
 K = 5
 #: Contexts that may be spread over buckets, at most.
 HOT = 100_000
-WORDS_A_BUCKET = 1 << 21
-TOKENS_A_BUCKET = 1 << 22
+WORDS_A_BUCKET = 1 << 20
+TOKENS_A_BUCKET = 1 << 21
 _END = np.uint64(0x0D0C5E7D0C5E7D01)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -74,8 +74,8 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def _build(keys: list[int | None], texts: list[bytes]) -> tuple:
-    words, at = word_hashes(texts)
-    sizes = np.diff(at) + 1
+    parts = [word_hashes(texts[s:e]) for s, e in pieces([len(t) for t in texts], 1 << 20)]
+    words, sizes = np.concatenate([w for w, _ in parts]), np.concatenate([np.diff(at) for _, at in parts]) + 1
     ends = np.cumsum(sizes)
     tokens = np.full(int(ends[-1]), _END, np.uint64)
     inner = np.ones(len(tokens), bool)
