@@ -86,9 +86,17 @@ class Collection:
     def _changes(self) -> DataFrame:
         raise NotImplementedError
 
+    def _bag(self, moments: Moments) -> DataFrame:
+        """(columns, [__at], __diff) as of ``moments``; a row may come in several parts, as linear consumers allow."""
+        raise NotImplementedError
+
+    #: Whether ``_bag`` has each row once.
+    bag_coalesced = False
+
     def at(self, moments: Moments) -> DataFrame:
         """(columns, [__at], __diff), coalesced."""
-        raise NotImplementedError
+        bag = self._bag(moments).select(*self.columns, *moments.keys, DIFF)
+        return bag if self.bag_coalesced else summed(bag, [*self.columns, *moments.keys])
 
     def changes(self) -> DataFrame:
         """All changes, one per row and time, none of them zero."""
@@ -214,8 +222,8 @@ class Input(Collection):
     def _changes(self) -> DataFrame:
         return self.log
 
-    def at(self, moments: Moments) -> DataFrame:
-        return summed(moments.restrict(self.log, self.depth), [*self.columns, *moments.keys])
+    def _bag(self, moments: Moments) -> DataFrame:
+        return moments.restrict(self.log, self.depth)
 
 
 class _Linear(Collection):
@@ -227,15 +235,15 @@ class _Linear(Collection):
     def _changes(self) -> DataFrame:
         return self._each(self.inputs[0]._changes(), [*self.times, DIFF])
 
-    def at(self, moments: Moments) -> DataFrame:
-        df = self._each(self.inputs[0].at(moments), [*moments.keys, DIFF])
-        return df if self.keeps_rows_apart else summed(df, [*self.columns, *moments.keys])
+    def _bag(self, moments: Moments) -> DataFrame:
+        return self._each(self.inputs[0]._bag(moments), [*moments.keys, DIFF])
 
     keeps_rows_apart = False
 
     def _from(self, input_: Collection) -> None:
         self.inputs, self.depth, self.scope = (input_,), input_.depth, input_.scope
         self.coalesced = input_.coalesced and self.keeps_rows_apart
+        self.bag_coalesced = input_.bag_coalesced and self.keeps_rows_apart
 
 
 class Map(_Linear):
@@ -314,8 +322,8 @@ class Compact(_Linear):
         moved = {c: F.greatest(F.col(c), F.lit(f)) for c, f in zip(self.times, self.frontier, strict=False)}
         return summed(self.inputs[0]._changes().withColumns(moved), [*self.columns, *self.times])
 
-    def at(self, moments):
-        return summed(moments.restrict(self._changes(), self.depth), [*self.columns, *moments.keys])
+    def _bag(self, moments):
+        return moments.restrict(self._changes(), self.depth)
 
 
 class Union(Collection):
@@ -333,8 +341,8 @@ class Union(Collection):
     def _changes(self):
         return self._both(self.inputs[0]._changes(), self.inputs[1]._changes(), [*self.times, DIFF])
 
-    def at(self, moments):
-        return summed(self._both(self.inputs[0].at(moments), self.inputs[1].at(moments), [*moments.keys, DIFF]), [*self.columns, *moments.keys])
+    def _bag(self, moments):
+        return self._both(self.inputs[0]._bag(moments), self.inputs[1]._bag(moments), [*moments.keys, DIFF])
 
 
 class Index(Collection):
@@ -362,10 +370,10 @@ class Index(Collection):
             df = self._kept = df.persist(StorageLevel.MEMORY_AND_DISK)
         return df
 
-    def at(self, moments):
+    def _bag(self, moments):
         if (kept := self._current()) is None:
-            return self.inputs[0].at(moments)
-        return summed(moments.restrict(kept, self.depth), [*self.columns, *moments.keys])
+            return self.inputs[0]._bag(moments)
+        return moments.restrict(kept, self.depth)
 
     def release(self) -> None:
         """Let go of what is kept."""
@@ -408,8 +416,8 @@ class Join(Collection):
         df = self._joined(self.inputs[0]._changes(), self.inputs[1]._changes(), self.times)
         return df.select(*self.columns, *bound_columns(self.depth, "__l", "__r"), DIFF)
 
-    def at(self, moments):
-        df = self._joined(self.inputs[0].at(moments), self.inputs[1].at(moments), moments.keys)
+    def _bag(self, moments):
+        df = self._joined(self.inputs[0]._bag(moments), self.inputs[1]._bag(moments), moments.keys)
         return df.select(*self.columns, *[F.col(f"__l{AT}").alias(AT)] * len(moments.keys), DIFF)
 
 
@@ -456,7 +464,7 @@ def _reached(changes: DataFrame, points: DataFrame, keys: list[str], times: list
 class Distinct(Collection):
     """Each row once if its count is not zero (a negative count is a row too)."""
 
-    coalesced = indexed = stateful = True
+    coalesced = indexed = stateful = bag_coalesced = True
 
     def __init__(self, input_: Collection):
         self.inputs, self.depth, self.columns, self.scope = (input_,), input_.depth, input_.columns, input_.scope
@@ -472,7 +480,7 @@ class Distinct(Collection):
         bags = as_of_grid(df, points, self.columns, self.columns, self.times).withColumn(DIFF, F.lit(1).cast("long"))
         return differences(bags, self.columns, self.times).select(*self.columns, *self.times, DIFF)
 
-    def at(self, moments):
+    def _bag(self, moments):
         return self.inputs[0].at(moments).withColumn(DIFF, F.lit(1).cast("long"))
 
 
@@ -565,7 +573,7 @@ class Reduce(Collection):
     ``"drop"``: a key without rows has none, as in SQL (for linear aggregates: with a total count of zero).
     """
 
-    indexed = stateful = True
+    indexed = stateful = bag_coalesced = True
 
     def __init__(self, input_: Collection, key_columns: int | list[str], aggregates: tuple[Aggregate, ...], empty_groups: str):
         if empty_groups not in ("init", "drop"):
@@ -601,9 +609,9 @@ class Reduce(Collection):
         return out.withColumns(inits)
 
     def _changes(self):
-        df = self.inputs[0].changes()
         if self._sums:
-            return self._running(df)
+            return self._running(self.inputs[0]._changes() if self.drop else self.inputs[0].changes())
+        df = self.inputs[0].changes()
         points = grid(df, self.keys, self.times)
         nexts = [f"__next{t}" for t in self.times]
         bags = as_of_grid(df, points, self.keys, self.inputs[0].columns, self.times)
@@ -633,17 +641,16 @@ class Reduce(Collection):
         out = changed.select(*self.keys, "__t0", F.explode(both).alias("__x")).where("__x IS NOT NULL")
         return out.select(*self.keys, *[F.col(f"__x.v.{a.name}").alias(a.name) for a in self.aggregates], "__t0", F.col("__x.d").alias(DIFF))
 
-    def at(self, moments):
+    def _bag(self, moments):
         source, keys = self.inputs[0], [*self.keys, *moments.keys]
-        bag = source.at(moments)
+        linear = all(a.linear for a in self.aggregates)
+        bag = source._bag(moments) if linear and self.drop else source.at(moments)
         values = self._values(bag, keys)
         if self.drop:
-            values = values.where("__n <> 0") if all(a.linear for a in self.aggregates) else values.where("__n IS NOT NULL")
+            values = values.where("__n <> 0" if linear else "__n IS NOT NULL")
         else:
             seen = moments.restrict(source.changes(), self.depth) if _has_history(source) else bag
             values = self._with_empty(values, seen.select(*keys).distinct(), keys)
-        if not self.keys and not moments.keys and self.drop:
-            values = values.where("__n IS NOT NULL")
         return values.select(*self.columns, *moments.keys, F.lit(1).cast("long").alias(DIFF))
 
 
@@ -655,7 +662,7 @@ def _has_history(node: Collection) -> bool:
 class Top(Collection):
     """The first rows of each key; evaluated on the bag as of each point."""
 
-    indexed = stateful = True
+    indexed = stateful = bag_coalesced = True
 
     def __init__(self, input_: Collection, key_columns: int | list[str], n: int, order: tuple[Column, ...]):
         self.inputs, self.depth, self.columns, self.scope = (input_,), input_.depth, input_.columns, input_.scope
@@ -671,5 +678,5 @@ class Top(Collection):
         bags = as_of_grid(df, grid(df, self.keys, self.times), self.keys, self.columns, self.times)
         return differences(self._first(bags, [*self.keys, *self.times]), self.columns, self.times).select(*self.columns, *self.times, DIFF)
 
-    def at(self, moments):
+    def _bag(self, moments):
         return self._first(self.inputs[0].at(moments), [*self.keys, *moments.keys]).select(*self.columns, *moments.keys, DIFF)
