@@ -199,11 +199,11 @@ def q21(spark, d):
 
 
 def q22(spark, d):
-    """Customers' counts of filled orders as of the last year: those who have none left show as 0, not at all with drop."""
+    """Customers' counts of filled orders as of a year: 0 for who has none left, and with drop no row (-1 here)."""
     x = orders(spark, d).filter("o_orderstatus = 'F'").project("o_custkey", "price")
     keep = x.reduce(1, nodes.count("n_init")).as_of(YEAR).select("o_custkey", "n_init")
     drop = x.reduce(1, nodes.count("n_drop"), empty_groups="drop").as_of(YEAR).select("o_custkey", "n_drop")
-    return keep.join(drop, "o_custkey", "left")
+    return keep.join(drop, "o_custkey", "left").na.fill(-1, ["n_drop"])
 
 
 def q23(spark, d):
@@ -266,13 +266,13 @@ def q31(spark, d):
 
 
 def q32(spark, d):
-    """Every order moves its price from its customer to its year's account; balances as of a year add up to 0."""
+    """Every order moves its price from its customer to one of seven accounts; the balances (row 0: all) add up to 0."""
     moves = orders(spark, d)
     df = moves.map(F.col("o_custkey").alias("src"), (-F.pmod("o_custkey", F.lit(7)) - 1).alias("dst"), "price")
     credit = df.project("dst", "price").rename("account", "price")
     debit = df.map(F.col("src").alias("account"), (-F.col("price")).alias("price"))
     balance = credit.union(debit).reduce(1, nodes.total("price", "balance"))
-    whole = balance.project("balance").reduce(0, nodes.total("balance", "balance")).map(F.lit(None).cast("long").alias("account"), "balance")
+    whole = balance.project("balance").reduce(0, nodes.total("balance", "balance")).map(F.lit(0).cast("long").alias("account"), "balance")
     return bag(balance.union(whole).as_of(1995)).drop("diff")
 
 
@@ -333,7 +333,7 @@ ORACLES: dict[str, str] = {
         x AS (SELECT o_custkey, max_price, t, 1 AS d FROM m UNION ALL SELECT o_custkey, max_price, t1, -1 FROM m WHERE t1 IS NOT NULL) """ + _COALESCED.format("o_custkey, max_price", "x"),
     "q20_ordered_fold": "SELECT c_mktsegment, string_agg(n_name, '' ORDER BY strlen(n_name), n_name) AS nations FROM (SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY c_mktsegment",
     "q21_global_sum": f"WITH {L_SQL}, l1 AS (SELECT 0 AS k, * FROM l)" + _SUMS.format("k", "l1", "qty * d", "", "sum_qty").replace("GROUP BY ALL HAVING sum(d) <> 0", "GROUP BY v, t HAVING sum(d) <> 0"),
-    "q22_empty_groups": f"WITH {O_SQL}, x AS (SELECT o_custkey, price, t, sum(d) AS d FROM o WHERE o_orderstatus = 'F' AND t <= {YEAR} GROUP BY ALL HAVING sum(d) <> 0) SELECT o_custkey, CAST(sum(d) AS BIGINT) AS n_init, CAST(nullif(sum(d), 0) AS BIGINT) AS n_drop FROM x GROUP BY o_custkey",
+    "q22_empty_groups": f"WITH {O_SQL}, x AS (SELECT o_custkey, price, t, sum(d) AS d FROM o WHERE o_orderstatus = 'F' AND t <= {YEAR} GROUP BY ALL HAVING sum(d) <> 0) SELECT o_custkey, CAST(sum(d) AS BIGINT) AS n_init, CAST(coalesce(nullif(sum(d), 0), -1) AS BIGINT) AS n_drop FROM x GROUP BY o_custkey",
     "q23_reach": f"WITH RECURSIVE {G2_SQL}, {REACH_SQL} SELECT src, dst FROM r",
     "q24_reach_cyclic": f"WITH RECURSIVE {G1_SQL}, {REACH_SQL} SELECT src, dst FROM r",
     "q25_reach_changes": """WITH RECURSIVE p AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day FROM events WHERE event_type = 'purchase'),
@@ -349,7 +349,7 @@ ORACLES: dict[str, str] = {
     "q31_tumbling_count": "SELECT event_type, CAST(epoch(date_trunc('hour', ts)) // 3600 AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY ALL",
     "q32_ledger": f"""WITH {O_SQL}, x AS (SELECT -(o_custkey % 7) - 1 AS account, price, t, d FROM o UNION ALL SELECT o_custkey, -price, t, d FROM o),
         c AS (SELECT account, price, t, sum(d) AS d FROM x WHERE t <= 1995 GROUP BY ALL HAVING sum(d) <> 0), b AS (SELECT account, CAST(sum(price * d) AS BIGINT) AS balance FROM c GROUP BY account)
-        SELECT account, balance FROM b UNION ALL SELECT NULL, CAST(sum(balance) AS BIGINT) FROM b""",
+        SELECT account, balance FROM b UNION ALL SELECT 0, CAST(sum(balance) AS BIGINT) FROM b""",
     "q33_top": f"""WITH {O_SQL}, k AS (SELECT *, lead(t) OVER (PARTITION BY o_orderstatus ORDER BY t) AS t1 FROM (SELECT DISTINCT o_orderstatus, t FROM (SELECT o_orderstatus, price, o_custkey, t FROM o GROUP BY ALL HAVING sum(d) <> 0))),
         b AS (SELECT k.o_orderstatus, k.t, k.t1, o.price, o.o_custkey FROM k JOIN o ON k.o_orderstatus = o.o_orderstatus AND o.t <= k.t GROUP BY ALL HAVING sum(o.d) <> 0),
         m AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, t ORDER BY price DESC, o_custkey) AS r FROM b),
