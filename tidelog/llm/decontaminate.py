@@ -149,28 +149,28 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "tex
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
 ), i AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
 ), ds AS (
-  SELECT doc_id, len(w) AS m, p AS at, list_aggregate(w[p + 1 : p + 5], 'string_agg', ' ') AS s FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM d WHERE len(w) >= 5)
+  SELECT doc_id, len(w) AS m, p AS pos, list_aggregate(w[p + 1 : p + 5], 'string_agg', ' ') AS s FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM d WHERE len(w) >= 5)
 ), ish AS (
   SELECT item_id, len(w) AS size, list_aggregate(w[p + 1 : p + 5], 'string_agg', ' ') AS s FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM i WHERE len(w) >= 5)
 ), n AS (SELECT item_id, size, s, count(*) AS n_item FROM ish GROUP BY 1, 2, 3
 ), hit AS (
-  SELECT doc_id, m, item_id, size, at, least(size, m) - 4 AS wide FROM ds JOIN n USING (s)
+  SELECT doc_id, m, item_id, size, pos, least(size, m) - 4 AS wide FROM ds JOIN n USING (s)
 ), start AS (
-  SELECT DISTINCT doc_id, item_id, size, wide, least(at, greatest(m - size, 0)) AS start FROM hit
+  SELECT DISTINCT doc_id, item_id, size, wide, least(pos, greatest(m - size, 0)) AS first FROM hit
 ), common AS (
-  SELECT doc_id, item_id, size, wide, start, sum(least(n_doc, n_item)) AS n_common FROM (
-    SELECT t.doc_id, t.item_id, t.size, t.wide, t.start, ds.s, count(*) AS n_doc
-    FROM start t JOIN ds ON ds.doc_id = t.doc_id AND ds.at BETWEEN t.start AND t.start + t.wide - 1 GROUP BY ALL
+  SELECT doc_id, item_id, size, wide, first, sum(least(n_doc, n_item)) AS n_common FROM (
+    SELECT t.doc_id, t.item_id, t.size, t.wide, t.first, ds.s, count(*) AS n_doc
+    FROM start t JOIN ds ON ds.doc_id = t.doc_id AND ds.pos BETWEEN t.first AND t.first + t.wide - 1 GROUP BY ALL
   ) JOIN n USING (item_id, size, s) GROUP BY ALL
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_common DESC, start) AS r FROM common
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_common DESC, first) AS r FROM common
   WHERE n_common * 100 >= (size - 4 + wide - n_common) * 80
 )
-SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(wide + 4 AS BIGINT) AS n_words, CAST(n_common AS BIGINT) AS n_common,
+SELECT doc_id, item_id, CAST(first AS BIGINT) AS start, CAST(wide + 4 AS BIGINT) AS n_words, CAST(n_common AS BIGINT) AS n_common,
        CAST(size - 4 + wide - n_common AS BIGINT) AS n_union, n_common / (size - 4 + wide - n_common) AS similarity
 FROM best WHERE r = 1
 """
