@@ -38,14 +38,14 @@ from .exchange import gaps, pack, slices, sums, unpack
 from .words import mix, pieces
 
 GRAM = 32
-SAMPLES_A_BUCKET = 1 << 20
-CONTEXT_BYTES_A_BUCKET = 48 << 20
+SAMPLES_A_BUCKET = 1 << 19
+CONTEXT_BYTES_A_BUCKET = 16 << 20
 #: Contexts of one first gram that may meet in one task (all in a bucket, or in one block).
 MOST_CONTEXTS, MOST_IN_BLOCK = 20_000, 512
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
 _MARK = 0xFFFFFFFF
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
@@ -80,7 +80,7 @@ def sample(b: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, ...
     ``b`` holds texts one after another that end at ``ends``; windows don't cross them.
     """
     out = []
-    room = np.full(len(b), 0, np.int64)
+    room = np.zeros(len(b), np.uint8)
     starts = np.concatenate(([0], ends[:-1]))
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
         room[s : max(s, e - least + 1)] = 1
@@ -171,6 +171,7 @@ class Family:
 
 
 def _by_hash(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Buckets 0 to n - 1; minimizers are small, so their hashes are to be mixed before."""
     return ((hashes >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
 
 
@@ -238,7 +239,7 @@ def _compare(bucket: int, requests: list[tuple[int, bytes]], edge_buckets: int,
     groups = np.concatenate(([0], np.flatnonzero(np.diff(gram[order])) + 1, [len(order)]))
     each = np.add.reduceat(windows[order], groups[:-1])
     found = [[] for _ in parts]
-    for s, e in pieces(each.tolist(), 1 << 20):
+    for s, e in pieces(each.tolist(), 1 << 19):
         some = order[groups[s] : groups[e]]
         raw = data[np.repeat(at[some], sizes[some]) + _counting(sizes[some])]
         n = windows[some]
@@ -281,7 +282,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 200, id_col: str = "doc_id",
         of = np.cumsum(new) - 1
         dealt = (np.bincount(of, distinct) > MOST_IN_BLOCK)[of]
         marks = gram[new & dealt]
-        bucket = np.concatenate((np.where(dealt, _by_hash(mix(context), buckets), _by_hash(gram, buckets)), _by_hash(marks, buckets)))
+        bucket = np.concatenate((np.where(dealt, _by_hash(mix(context), buckets), _by_hash(mix(gram), buckets)), _by_hash(mix(marks), buckets)))
         none = np.zeros(len(marks), np.int64)
         gram, context, place, dealt = np.concatenate((gram, marks)), np.concatenate((context, none.astype(_U))), np.concatenate((place, none + _MARK)), np.concatenate((dealt, none)).astype(np.uint8)
         order = np.lexsort((context, gram, bucket))
@@ -319,7 +320,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 200, id_col: str = "doc_id",
             at = np.cumsum(sizes) - sizes
             gram = mix(_span(h, at + p[some], at + p[some] + GRAM))
             if low == 2:
-                bucket = _by_hash(gram, edge_buckets)
+                bucket = _by_hash(mix(gram), edge_buckets)
                 order = np.lexsort((some, gram, bucket))
                 for k, s, e in slices(bucket[order]):
                     o = order[s:e]
@@ -356,7 +357,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 200, id_col: str = "doc_id",
             start = first[code // 4096] + code % 4096
             np.add.at(step, start, 1)
             np.add.at(step, start + least, -1)
-        gone = np.cumsum(step[: len(b)]) > 0
+        gone = np.cumsum(step[: len(b)], dtype=np.int32) > 0
         ids, null, sizes = unpack(docs)
         ids, sizes = ids.astype(_U).view(np.int64), sizes.astype(np.int64)
         ends = np.cumsum(sizes)
