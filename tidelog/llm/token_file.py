@@ -115,7 +115,8 @@ class Encoder:
 
     Byte-level BPE first cuts a text into pre-tokens and a space always starts one when a non-space follows
     it, so runs can be encoded apart; a text in which a space meets other white space is encoded whole.
-    The memory is emptied at ``most`` runs.
+    New runs are encoded many to a text and told apart by the ids that begin with a space, of which each run
+    has one, its first.  The memory is emptied at ``most`` runs.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -124,10 +125,22 @@ class Encoder:
 
         self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
         self.meets = re.compile(r" \s")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, runs: list[str]) -> None:
+        ids = np.frombuffer(self._encoded([" " + " ".join(runs)])[0], "<u4")
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(runs):
+            self.known.update(zip(runs, self._encoded([" " + x for x in runs]), strict=True))
+            return
+        raw, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        self.known.update(zip(runs, [raw[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids.  ``known`` is keyed by the run without the space before it."""
         if len(self.known) > self.most:
@@ -135,8 +148,8 @@ class Encoder:
         cut = [None if self.meets.search(text) else text.split(" ") for text in texts]
         whole = [text for text, runs in zip(texts, cut, strict=True) if runs is None]
         new = list(set().union(*[runs[1:] for runs in cut if runs]).difference(self.known))
-        if new:
-            self.known.update(zip(new, self._encoded([" " + x for x in new]), strict=True))
+        for at in range(0, len(new), 512):
+            self._learn(new[at : at + 512])
         apart = iter(self._encoded(whole + [runs[0] for runs in cut if runs]))
         whole_ids, known = [next(apart) for _ in whole][::-1], self.known.__getitem__
         return [whole_ids.pop() if runs is None else next(apart) + b"".join(map(known, runs[1:])) for runs in cut]
