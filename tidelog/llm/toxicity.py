@@ -25,7 +25,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,8 @@ class Model:
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
+    low: tuple[float, ...] = (-3.0,) * 8
+    high: tuple[float, ...] = (3.0,) * 8
     known: bool = True
 
 
@@ -115,7 +117,8 @@ def _features(windows: _Windows, text: str | None) -> list[float]:
 
 
 def _design(features: np.ndarray, model: Model) -> np.ndarray:
-    z = np.clip((features - np.array(model.mean)) / np.array(model.scale), -3, 3)
+    """Scaled features and their squares, held within what calibration has seen, so that nothing is extrapolated."""
+    z = np.clip((features - np.array(model.mean)) / np.array(model.scale), model.low, model.high)
     return np.hstack([z, z * z, np.ones((len(z), 1))])
 
 
@@ -140,7 +143,8 @@ def train(toxic: list[str], ordinary: list[str], *, size: int = 4096, level: int
     none = Model(MARK, MARK, level, (0.0,) * 8, (1.0,) * 8, (0.0,) * 17, known=False)
     if len(toxic) < 2 or len(ordinary) < 2:
         return none
-    p, n = [_words(t) for t in toxic[0::2]], [_words(t) for t in ordinary[0::2]]
+    one: dict[bytes, bytes] = {}  # equal words are one object
+    p, n = ([[one.setdefault(w, w) for w in _words(t)] for t in texts[0::2]] for texts in (toxic, ordinary))
     in_p, in_n = Counter(), Counter()
     for texts, counts in ((p, in_p), (n, in_n)):
         for words in texts:
@@ -153,11 +157,13 @@ def train(toxic: list[str], ordinary: list[str], *, size: int = 4096, level: int
     windows, rest = _Windows(model), [*((t, 1.0) for t in toxic[1::2]), *((t, 0.0) for t in ordinary[1::2])]
     x, y = np.array([_features(windows, t) for t, _ in rest]), np.array([v for _, v in rest])
     model = Model(model.toxic, model.ordinary, level, tuple(x.mean(0)), tuple(x.std(0) + 1e-9), none.weights)
+    ends = np.clip((x - x.mean(0)) / np.array(model.scale), -3, 3)
+    model = replace(model, low=tuple(ends.min(0)), high=tuple(ends.max(0)))
     z, w = _design(x, model), np.zeros(17)
     for _ in range(_FIT_ROUNDS):  # ridge-penalised logistic regression by Newton's method
         q = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
         w = w + np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) + np.eye(17), z.T @ (y - q) - w)
-    return Model(model.toxic, model.ordinary, level, model.mean, model.scale, tuple(w))
+    return replace(model, weights=tuple(w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 3000, most_ordinary: int = 6000, most_chars: int = 100_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model:
