@@ -10,7 +10,7 @@ What is done with the buckets is exact and never emits a group's pairs:
 1. Documents with the same shingle set are one class, named by its smallest id.
 2. Star round: each bucket's members meet one centre, which differs from band to band.  Sizes that rule a
    link out drop a pair; the rest is verified on full sets.  Verified links are contracted to components.
-3. Buckets that still hold several components are settled by tiles of at most ``tile`` members: those outside
+3. Buckets that still hold several components are settled by tiles of about ``tile`` members (fewer long ones): those outside
    the bucket's largest component meet all others, and a tile returns at most a spanning forest.  No pair of a
    bucket that could join two components is left out, whatever the bucket's size.
 
@@ -37,6 +37,8 @@ from .words import mix, pieces, shingle_sets
 _STEP = 0x9E3779B1
 #: Ids that a broadcast may hold (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Shingles that a tile holds on average at the most (or two documents).
+TILE_SHINGLES = 1_000_000
 
 
 def bands_for(threshold: float, rows: int = 5, miss: float = 1e-6) -> int:
@@ -161,17 +163,17 @@ def tile_forest(nodes: list[int], labels: list[int], minor: list[bool], sets: li
 
 def _settled(live: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> DataFrame | None:
     """Links that join components within a bucket (step 3); None if no bucket has two."""
-    members = live.join(comp, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    counts = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    buckets = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = store.cut(members.join(buckets, "key").select("key", "node", "label", (F.col("label") != F.col("major")).alias("minor"), "n_major", (F.col("n_all") - F.col("n_major")).alias("n_minor")))
+    members = live.join(comp, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    load = F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(TILE_SHINGLES / tile)))).cast("long")  # a long member counts as several
+    counts = members.groupBy("key", "label").agg(load.alias("load"))
+    buckets = counts.groupBy("key").agg(F.max_by("label", F.struct("load", "label")).alias("major"), F.max("load").alias("l_major"), F.sum("load").alias("l_all"), F.count("*").alias("labels")).where("labels > 1")
+    parts = lambda load: F.ceil(load / F.lit(tile // 2)).cast("long")
+    open_ = store.cut(members.join(buckets, "key").select("key", "node", "label", (F.col("label") != F.col("major")).alias("minor"), parts(F.col("l_major")).alias("p_major"), parts(F.col("l_all") - F.col("l_major")).alias("p_minor")))
     if open_.isEmpty():
         return None
-    parts = lambda n: F.ceil(F.col(n) / F.lit(tile // 2))
-    spot = lambda n: F.pmod(F.xxhash64("node"), parts(n))
-    own = F.when(F.col("minor"), spot("n_minor")).otherwise(spot("n_major"))
-    small = F.sequence(F.lit(0).cast("long"), parts("n_minor") - 1)
-    large = F.sequence(F.lit(0).cast("long"), parts("n_major") - 1)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("p_minor")).otherwise(F.col("p_major")))
+    small = F.sequence(F.lit(0).cast("long"), F.col("p_minor") - 1)
+    large = F.sequence(F.lit(0).cast("long"), F.col("p_major") - 1)
     tag = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     tiles = F.when(
         F.col("minor"), F.concat(F.transform(small, lambda j: tag("m", F.least(j, F.col("own")), F.greatest(j, F.col("own")))), F.transform(large, lambda j: tag("M", F.col("own"), j)))
@@ -204,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     fits = (den * F.least("n", "n_centre") >= num * F.greatest("n", "n_centre")) & (F.col("node") != F.col("centre"))
     stars = live.where(fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     comp = graph.connected_components(_verified(stars, sets, num, den))
-    more = _settled(live.select("key", "node"), comp, sets, num, den, tile)
+    more = _settled(live.select("key", "node", "n"), comp, sets, num, den, tile)
     if more is not None:
         comp = graph.connected_components(more.union(comp.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("hi", "lo", "copies", F.coalesce("label", "rep").alias("component_id"), "rep").where("copies > 1 OR component_id <> rep").select("hi", "lo", "component_id")
