@@ -109,6 +109,17 @@ def test_discounts_fall_back():
     assert odd[1] == pytest.approx(0.25) and np.all(np.diff(odd[1:]) > 0)
 
 
+def test_good_turing_stays_where_one_count_of_counts_is_lifted():
+    n = [0, 1655711, 262472, 56325, 23262, 20048, 8151]  # bigrams of sf0.1; planted copies lift n[5], so 4* > 4
+    d, left = katz.discounts(n, 3_643_802)
+    assert ((d[1:6] > 0) & (d[1:6] < 1)).all() and d[6] == 1 and left == pytest.approx(n[1] / 3_643_802)
+    turing = [(c + 1) * n[c + 1] / (c * n[c]) for c in (1, 2, 3)]  # these counts keep their own Good-Turing counts
+    assert (1 - d[1:4]) / (1 - d[1]) == pytest.approx((1 - np.array(turing)) / (1 - turing[0]))
+    assert np.all(np.diff(d[1:]) > 0) and abs(d[1] - 0.25) > 0.02
+    gap, left = katz.discounts([0, 900, 110, 0, 14, 0, 5], 5000)  # empty counts of counts are fitted over
+    assert ((gap[1:6] > 0) & (gap[1:6] < 1)).all() and np.all(np.diff(gap[1:]) > 0) and not np.allclose((1 - gap[1:6]) * np.arange(1, 6), 1 - gap[1])
+
+
 def test_packed_arrays_round_trip():
     for a in (np.array([], np.int64), np.array([-1, 5]), np.array([2**64 - 1, 0], np.uint64), np.arange(300), np.array([0.5, 1e300]), np.zeros(9, np.uint8)):
         assert np.array_equal(exchange.unpack(exchange.pack(a, a[:1]))[0], a)

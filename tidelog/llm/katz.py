@@ -10,8 +10,10 @@ probability, with a backoff weight that makes every context's probabilities add
     P(w) = d1(c(w)) c(w) / N, and P(unknown) = what the discounts of unigrams leave
 
 All unknown words are one outcome, as in the base score.  A text's tokens are its words and one end; the first
-token's context is a begin mark.  If counts of counts don't allow Good-Turing discounts, absolute discounting
-(at most 0.75) stands in for them; where no count is K or below, one count is added to the total and freed.
+token's context is a begin mark.  From the first count on whose Good-Turing discount leaves (0, 1), counts of
+counts are taken from a log-linear fit (Simple Good-Turing); the counts below it keep their own.  Only where the
+fit does not fall faster than 1/c, so that no Good-Turing discount exists, absolute discounting (at most 0.75)
+stands in; where no count is K or below, one count is added to the total and freed.
 
 Nothing of the corpus is gathered in one place.  Blocks of documents ask buckets of words, then buckets of
 bigrams, with sorted key lists (see ``exchange``); buckets add up the counts, keep them as a table partitioned
@@ -46,18 +48,41 @@ _END = np.uint64(0x0D0C5E7D0C5E7D01)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _slope(n: list[int]) -> float:
+    """Slope of log n[c] over log c, with n[c] averaged over the empty counts around it; 0 if it can't be fitted."""
+    c = np.flatnonzero(np.array(n[: K + 2]) * (np.arange(K + 2) > 0))
+    if len(c) < 2:
+        return 0.0
+    before, after = np.concatenate(([0], c[:-1])), np.append(c[1:], 2 * c[-1] - c[-2])
+    x, y = np.log(c), np.log(2 * np.array(n, float)[c] / (after - before))
+    x = x - x.mean()
+    return float((x * y).sum() / (x * x).sum())
+
+
 def discounts(n: list[int], total: int) -> tuple[np.ndarray, float]:
     """(d, left): d[c] for counts 0 to K + 1 (the last for all above K) from counts of counts n[1..K+1].
 
+    1 - d[c] is in proportion to 1 - c*/c, where c* is the Good-Turing count, and all discounts free n[1] counts.
+    As many of the lowest counts as possible take c* from their own n, the others from the log-linear fit.
     ``left`` is the share of ``total`` that the discounts free; 1 if total is 0.
     """
-    d = np.ones(K + 2)
-    common = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
-    if common < 1 and all(n[1 : K + 2]):
-        d[1 : K + 1] = [((c + 1) * n[c + 1] / (c * n[c]) - common) / (1 - common) for c in range(1, K + 1)]
-    if not ((d[1 : K + 1] > 0) & (d[1 : K + 1] < 1)).all():
-        cut = min(0.75, max(0.05, n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5))
-        d[1 : K + 1] = 1 - cut / np.arange(1, K + 1)
+    d, c, slope = np.ones(K + 2), np.arange(1, K + 1), _slope(n)
+    own = np.array([(i + 1) * n[i + 1] / (i * n[i]) if n[i] and n[i + 1] else np.inf for i in range(1, K + 1)])
+    fitted = ((c + 1) / c) ** (slope + 1)
+    for first in range(K, -1, -1):  # counts above ``first`` are fitted
+        rest = 1 - np.where(c <= first, own, fitted)
+        freed = float((rest * c * np.array(n[1 : K + 1])).sum()) if np.isfinite(rest).all() else 0.0
+        if freed > 0:
+            d[1 : K + 1] = 1 - n[1] / freed * rest
+            if ((d[1 : K + 1] > 0) & (d[1 : K + 1] < 1)).all():
+                break
+    else:
+        common = float(K + 1) ** (slope + 1)
+        if slope < -1:
+            d[1 : K + 1] = (fitted - common) / (1 - common)
+        else:
+            cut = min(0.75, max(0.05, n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5))
+            d[1 : K + 1] = 1 - cut / c
     return d, float(sum((1 - d[c]) * c * n[c] for c in range(1, K + 1)) / total) if total else 1.0
 
 
