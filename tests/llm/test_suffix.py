@@ -64,6 +64,20 @@ def test_removal_equals_brute_force(spark, monkeypatch, mode):
     assert sorted(((x.doc_id, x.n_bytes, [tuple(s) for s in x.spans], bytes(x.kept)) for x in got), key=str) == brute(rows, 100)
 
 
+def test_lone_window_of_a_gram_dealt_out_elsewhere(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SAMPLES_A_BUCKET", 1)
+    monkeypatch.setattr(suffix, "MOST_IN_BLOCK", 3)
+    r = random.Random(3)
+    text = lambda n: "".join(r.choices("abcdefghij", k=n))
+    shared = [text(110) for _ in range(3)]
+    long = lambda: "".join(text(90) + x for x in shared) + text(90)
+    many, lone = [(i, long()) for i in range(5)], (5000, long())
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", sum(len(x[1]) for x in many))  # two blocks
+    df = spark.createDataFrame([*many, lone], "doc_id long, text string").coalesce(1)
+    got = suffix.remove_repeats(df, least=100).collect()
+    assert sorted(((x.doc_id, x.n_bytes, [tuple(s) for s in x.spans], bytes(x.kept)) for x in got), key=str) == brute([*many, lone], 100)
+
+
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     short = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")

@@ -195,6 +195,7 @@ def _scan_batches(bucket: int, requests: list[tuple[int, bytes]]) -> list[tuple]
     grams, n = np.unique(family.gram[: family.n], return_counts=True)
     hot = np.unique(np.concatenate([grams[n > MOST_CONTEXTS], *hot]))
     is_hot = np.isin(family.gram, hot)
+    family.shared |= is_hot  # other buckets may hold other contexts of a marked gram
     out, edges, windows = [], 0, 0
     for number, (block, place, ids, new) in enumerate(held):
         again, shared = family.again[ids], family.shared[ids]
