@@ -2,7 +2,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidelog.llm import lines, packing
 
@@ -38,39 +37,80 @@ def test_host(spark):
     assert [x[0] for x in got] == ["ex.com", "m.a.org", None, None, "h"]
 
 
-def check_bins(rows, capacities):
-    bins = defaultdict(list)
+def check_sequences(rows, capacities, width=1):
+    """Each sequence is the smallest that holds its pieces, which lie one after another; (doc, piece) -> ids."""
+    found = defaultdict(list)
+    assert len({x.bin_id for x in rows}) == len(rows)
     for x in rows:
-        if x.n_tokens:
-            bins[x.bin_id].append(x)
-    for parts in bins.values():
-        parts.sort(key=lambda x: x.bin_offset)
+        assert x.capacity == min(c for c in capacities if c >= x.n_tokens) and len(x.tokens) == x.n_tokens * width
         at = 0
-        for x in parts:
-            assert x.bin_offset == at
-            at += x.n_tokens
-        assert parts[0].capacity == min(c for c in capacities if c >= at)
-    return bins
+        for i, piece, start, n in zip(x.doc_ids, x.pieces, x.starts, x.lengths, strict=True):
+            assert start == at and 0 < n <= max(capacities)
+            found[i, piece].append(bytes(x.tokens[start * width : (start + n) * width]))
+            at += n
+        assert at == x.n_tokens
+    return found
 
 
 def test_packing_keeps_every_token_once(spark):
     r = random.Random(1)
-    lens = [(i if i % 50 else None, r.choice([0, 1, 30, 500, 512, 513, 3000, 8192, 8193, 30000])) for i in range(700)]
-    df = spark.createDataFrame([(i, n, "x") for i, n in lens], "doc_id long, n long, shard string")
-    for rows in (50_000, 100):
-        got = packing.pack(df, length=F.col("n"), shard_rows=rows).collect()
-        bins = check_bins(got, packing.CAPACITIES)
-        total = defaultdict(int)
-        for x in got:
-            total[x.doc_id] += x.n_tokens
-            assert (x.bin_id is None) == (x.n_tokens == 0)
-        want = defaultdict(int)
-        for i, n in lens:
-            want[i] += n
-        assert total == want
-        used, room = sum(n for _, n in lens), sum(p[0].capacity for p in bins.values())
-        assert used / room > 0.9
-    assert packing.pack(df.limit(0), length=F.col("n")).collect() == []
+    texts = [(i if i % 50 else None, r.choice([None, "", "é", "x" * 30, "ab" * 1000, "c" * 2047, "d" * 2048, "e" * 32767, "f" * 32768, "long " * 20000])) for i in range(300)]
+    texts += [(7, "same"), (7, "same"), (7, "other")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, shard string, row int").repartition(3)
+    for size in (12 << 20, 300_000):
+        got = packing.pack(df, shard_bytes=size).collect()
+        found = check_sequences(got, packing.CAPACITIES)
+        most, want = packing.CAPACITIES[-1], defaultdict(list)
+        for i, t in texts:
+            raw = (t or "").encode() + packing.END
+            for p in range(0, len(raw), most):
+                want[i, p // most].append(raw[p : p + most])
+        assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+        assert sum(x.n_tokens for x in got) / sum(x.capacity for x in got) > 0.9
+    assert packing.pack(df.limit(0)).collect() == []
+
+
+def test_packing_ids_of_a_column(spark):
+    r = random.Random(2)
+    ids = [(i, bytes(r.randrange(256) for _ in range(4 * r.choice([0, 1, 5, 16, 17, 40])))) for i in range(200)] + [(500, None)]
+    df = spark.createDataFrame(ids, "doc_id long, ids binary")
+    found = check_sequences(packing.pack(df, ids="ids", width=4, capacities=(8, 16), overhead=1).collect(), (8, 16), 4)
+    assert {k: v for k, v in found.items()} == {(i, p // 64): [b[p : p + 64]] for i, b in ids if b for p in range(0, len(b), 64)}
+
+
+def naive_best_fit(lengths, sizes, overhead):
+    """The rule as it is said, with a list of bins searched in full."""
+    best = None
+    for largest in sizes:
+        if largest < max(lengths):
+            continue
+        bins, rest = [], sum(lengths)
+        for n in sorted(lengths, reverse=True):
+            rest -= n
+            fits = [x for x in bins if x[0] >= n]
+            if fits:
+                x = min(fits, key=lambda x: x[0])
+            else:
+                x = [min((c for c in sizes if n <= c <= largest), key=lambda c: ((c + overhead) / min(c, n + rest), c)), 0]
+                bins.append(x)
+            x[0], x[1] = x[0] - n, x[1] + n
+        cost = sum(min(c for c in sizes if c >= used) + overhead for _, used in bins)
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_best_fit_equals_the_naive_rule(seed):
+    r = random.Random(seed)
+    sizes = sorted(r.sample([4, 8, 10, 16, 32, 64], r.randint(1, 4)))
+    lengths = [r.randint(1, sizes[-1]) for _ in range(r.randint(1, 60))]
+    placed, caps = packing.best_fit(lengths, tuple(sizes), 3)
+    used = Counter()
+    for (b, at), n in zip(placed, lengths, strict=True):
+        assert at + n <= caps[b]
+        used[b] += n
+    assert all(caps[b] == min(c for c in sizes if c >= used[b]) for b in used)
+    assert sum(caps) + 3 * len(caps) == naive_best_fit(lengths, sizes, 3)
 
 
 def test_best_fit_small_cases():
@@ -78,8 +118,3 @@ def test_best_fit_small_cases():
     assert sum(caps) == 2048 and len({b for b, _ in placed}) == len(caps)
     assert packing.best_fit([], (8,)) == ([], [])
     assert packing.best_fit([3], (4, 8), 1)[1] == [4]
-
-
-def test_word_count(spark):
-    got = spark.createDataFrame([("a b\tc\x0b d  ",), ("",), (None,), ("é ü",)], "t string").select(packing.word_count(F.col("t"))).collect()
-    assert [x[0] for x in got] == [4, 0, 0, 2]

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 #: Boilerplate lines (16 bytes each) that may be broadcast.
 BROADCAST_LINES = 500_000
 
@@ -43,11 +45,12 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, *, ratio: float, m
     return counts.join(totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("pages") * ratio).select("host", "a", "b")
 
 
-def drop_boilerplate(pages: DataFrame, *, host: Column | str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 5, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, host: Column | str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 2, counts: tuple[str, str] | None = None) -> DataFrame:
     """``pages`` with boilerplate lines taken out of the text; ``counts`` names columns for lines and lines dropped."""
     host = F.col(host) if isinstance(host, str) else host
     text = F.col(text_col)
-    found = boilerplate(pages, host, text, ratio=ratio, min_pages=min_pages).groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("__bad")).withColumnRenamed("host", "__host").persist()
+    found = boilerplate(pages, host, text, ratio=ratio, min_pages=min_pages).groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("__bad")).withColumnRenamed("host", "__host")
+    found = store.written(found, "boilerplate")
     if (found.agg(F.sum(F.size("__bad"))).first()[0] or 0) <= BROADCAST_LINES:
         found = F.broadcast(found)
     lines = F.split(text, "\n")
@@ -76,7 +79,7 @@ WITH l AS (
   SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2
 ), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1
 ), bad AS (
-  SELECT c.source, c.line FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 5 AND n > pages * 0.05
+  SELECT c.source, c.line FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 2 AND n > pages * 0.05
 ), m AS (
   SELECT l.*, bad.line IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.line = bad.line
 )

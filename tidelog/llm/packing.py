@@ -6,13 +6,18 @@ that it can be filled with (the item and what is still to come) is least.  This
 size as the largest that may be opened, and the cheapest outcome stands: the sizes are optimised jointly.  In
 the end every bin is downsized to the smallest permitted length that holds its contents.
 
-Documents longer than the largest length are cut into pieces of that length and a rest.  Shards of about
-``shard_rows`` pieces are made by a hash of the id, so no task gets an unbounded group, and at 50,000 pieces a
-shard what is lost against one global packing is a bin or two a shard.
-
-Defined results: a document without tokens (null or empty text) has one row with length 0 and no bin; rows
-without an id are spread over the shards and packed like others; repeated rows are packed each; ties are
-broken by id; an empty table gives no rows.
+What is packed are token ids of ``width`` bytes each: any binary column, such as the ids of a token file
+(``width=4``).  By default a token is a byte of the UTF-8 text, and each document ends with :data:`END`, a byte
+that UTF-8 never uses.  The result is the sequences themselves, with the documents and pieces that each holds.
+
+Documents longer than the largest length are cut into pieces of that length and a rest before anything moves.
+Shards of about ``shard_bytes`` of ids are made by a hash of the row's place in the input and the piece, so no
+task gets an unbounded group, whatever ids repeat; what is lost against one global packing is a bin or two a
+shard.  Ids are shuffled once.  The input must be read in the same order again if a task is repeated, as
+files are.
+
+Defined results: a document with a null or empty text is its end mark alone (with ids of one's own, none: it
+is in no sequence); rows without an id and repeated rows are packed like others, each; ties are broken by id, piece and ids; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CAPACITIES = (512, 1024, 2048, 4096, 8192)
-SCHEMA = "doc_id long, piece long, piece_start long, n_tokens long, bin_id long, capacity long, bin_offset long"
+from . import workers
+
+#: Permitted lengths in bytes, which stand for about 512 to 8,192 tokens of a subword vocabulary.
+CAPACITIES = (2048, 4096, 8192, 16384, 32768)
+END = b"\xff"
+SCHEMA = "bin_id long, capacity long, n_tokens long, doc_ids array<long>, pieces array<long>, starts array<long>, lengths array<long>, tokens binary"
 
 
-def word_count(text: Column) -> Column:
-    """The number of words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def byte_tokens(text: Column) -> Column:
+    """The UTF-8 bytes of a text and the end mark."""
+    return F.concat(F.encode(F.coalesce(text, F.lit("")), "utf-8"), F.lit(END))
 
 
 def _pack_once(lengths: list[int], sizes: list[int], overhead: int) -> tuple[int, list[tuple[int, int]], list[int]]:
@@ -77,28 +86,40 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overh
     return out, down
 
 
-def pack(docs: DataFrame, *, length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = 64, shard_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: its document and place there, its bin, the bin's capacity and the piece's offset in it."""
+def pack(docs: DataFrame, *, ids: Column | str | None = None, width: int = 1, capacities: tuple[int, ...] = CAPACITIES, overhead: int = 64, shard_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per sequence: its capacity, its tokens, and which document's which piece starts where in it.
+
+    ``starts`` are places in the sequence, ``lengths`` the pieces' tokens; piece p of a document begins at its
+    token ``p * max(capacities)``.
+    """
+    workers.small_batches(docs.sparkSession)
     most = max(capacities)
-    length = word_count(F.col(text_col)) if length is None else length.cast("long")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("len"))
-    sized = sized.withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))).persist()
-    total = sized.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("len") / most)))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_rows))
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("len") / most) - 1))
-    pieces = sized.select("doc_id", "len", "spread", F.explode(starts).alias("piece")).select("doc_id", "piece", (F.col("piece") * most).alias("piece_start"), F.least(F.lit(most).cast("long"), F.col("len") - F.col("piece") * most).alias("n_tokens"), F.pmod(F.xxhash64("spread", "piece"), F.lit(shards)).alias("shard"))
+    own = byte_tokens(F.col(text_col).cast("string")) if ids is None else F.col(ids) if isinstance(ids, str) else ids
+    size = F.octet_length(F.col(text_col).cast("string")) if ids is None else F.octet_length(own)
+    total = docs.select(F.coalesce(size, F.lit(0)).cast("long").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    shards = max(1, -(-((total[0] or 0) + 64 * total[1]) // shard_bytes))
+    coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(own, F.lit(b"")).alias("ids"), F.monotonically_increasing_id().alias("row"))
+    step = most * width
+    count = F.ceil(F.octet_length("ids") / F.lit(step)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.struct(i.cast("long").alias("piece"), F.substring("ids", i * step + 1, F.lit(step)).alias("ids")))
+    pieces = coded.select("doc_id", "row", F.explode(cut).alias("x")).select("doc_id", "x.piece", "x.ids", F.pmod(F.xxhash64("row", "x.piece"), F.lit(shards)).alias("shard")).where("octet_length(ids) > 0")
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        lengths, first = group["n_tokens"].to_pylist(), (group["shard"][0].as_py()) << 32
-        some = [n for n in lengths if n]
-        placed, caps = best_fit(some, capacities, overhead)
-        none = [None] * (len(lengths) - len(some))  # lengths fall, so those without tokens come last
+        first = group["shard"][0].as_py() << 32
+        rows = sorted(zip(group["doc_id"].to_pylist(), group["piece"].to_pylist(), group["ids"].to_pylist(), strict=True), key=lambda r: (-len(r[2]), r[0] is None, r[0] or 0, r[1], r[2]))
+        placed, caps = best_fit([len(r[2]) // width for r in rows], capacities, overhead)
+        bins = [[] for _ in caps]
+        for (b, at), r in zip(placed, rows, strict=True):
+            bins[b].append((at, *r))
+        for x in bins:
+            x.sort(key=lambda r: r[0])
+        longs = pa.list_(pa.int64())
         return pa.table(
             {
-                "doc_id": group["doc_id"], "piece": group["piece"], "piece_start": group["piece_start"], "n_tokens": group["n_tokens"],
-                "bin_id": pa.array([first + b for b, _ in placed] + none, pa.int64()), "capacity": pa.array([caps[b] for b, _ in placed] + none, pa.int64()), "bin_offset": pa.array([o for _, o in placed] + none, pa.int64()),
+                "bin_id": pa.array(range(first, first + len(bins)), pa.int64()), "capacity": pa.array(caps, pa.int64()), "n_tokens": pa.array([sum(len(r[3]) for r in x) // width for x in bins], pa.int64()),
+                "doc_ids": pa.array([[r[1] for r in x] for x in bins], longs), "pieces": pa.array([[r[2] for r in x] for x in bins], longs), "starts": pa.array([[r[0] for r in x] for x in bins], longs),
+                "lengths": pa.array([[len(r[3]) // width for r in x] for x in bins], longs), "tokens": pa.array([b"".join(r[3] for r in x) for x in bins], pa.binary()),
             }
         )
 
-    return pieces.groupBy("shard").applyInArrow(run, SCHEMA)
+    return pieces.groupBy("shard").applyInArrow(workers.tidy_group(run), SCHEMA)
