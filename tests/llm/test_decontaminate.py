@@ -86,3 +86,33 @@ def test_empty_tables(spark):
     assert decontaminate.contaminations(docs, bench.limit(0)).collect() == []
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 1
     assert decontaminate.drop_contaminated(docs, bench).count() == 0
+
+
+def test_every_fingerprint_within_the_radius_is_found(spark):
+    """The multi-index lookup against all pairs of fingerprints."""
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(40)]
+    left = [b ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 24))) for b in base for _ in range(10)] + [r.getrandbits(64) for _ in range(200)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    a = spark.createDataFrame([(signed(x),) for x in left], "a long").distinct()
+    b = spark.createDataFrame([(signed(x),) for x in base], "b long").distinct()
+    for radius in (3, 15):
+        own = a.select("a", decontaminate._blocks("a").alias("x")).select("a", "x.*")
+        near = b.select("b", decontaminate._blocks("b", radius // decontaminate.BLOCKS).alias("x")).select("b", "x.*")
+        got = {(x.a, x.b) for x in own.join(near, ["block", "value"]).select("a", "b").distinct().collect()}
+        want = {(signed(x), signed(y)) for x in left for y in base if (x ^ y).bit_count() <= radius}
+        assert want <= got
+        assert len(got - want) < 0.25 * len(left) * len(base)
+
+
+def test_recall_of_the_index_alone(spark):
+    """Without the shingle prefilter the fingerprints find at least 0.9 of what is exactly similar enough, and nothing else."""
+    rows, items = corpus(11)
+    hit = {x[0] for x in brute(rows, items)}
+    rows = [(i, t) for i, t in rows if i is not None and i in hit and len(words(t)) < 100][:30]
+    items = [(i, t) for i, t in items if i in {x[1] for x in brute(rows, items)}]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda found: {(x[0], x[1]) for x in found}
+    got, want = pairs(decontaminate.contaminations(docs, bench, prefilter=False).collect()), pairs(brute(rows, items))
+    assert len(want) > 25 and got <= want
+    assert len(got) >= 0.9 * len(want)
