@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import store, workers
 
 ROW = "bucket int, block long, kind string, payload binary"
 #: Text that a block holds, unless one document has more.
@@ -84,6 +84,7 @@ def blocks(docs: DataFrame, build: Callable[[list, list[bytes]], tuple], columns
     It is bucketed by block in the warehouse, in as many buckets as there are shuffle partitions.
     """
     spark = docs.sparkSession
+    workers.small_batches(spark)
     schema = spark.createDataFrame([], f"block long, {columns}").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def blocks(docs: DataFrame, build: Callable[[list, list[bytes]], tuple], columns
 
     table = f"tidelog_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.mapInArrow(run, schema).write.bucketBy(n, "block").option("compression", "uncompressed").saveAsTable(table)
+    docs.mapInArrow(workers.tidy(run), schema).write.bucketBy(n, "block").option("compression", "uncompressed").saveAsTable(table)
     return spark.table(table)
 
 
@@ -132,7 +133,7 @@ def ask(df: DataFrame, request: Callable[..., list[tuple]], answer: Callable[[in
         return rows(answer(group["bucket"][0].as_py(), list(zip(group["block"].to_pylist(), group["payload"].to_pylist(), strict=True))))
 
     path = store.scratch(spark, name)
-    df.mapInArrow(requests, ROW).groupBy("bucket").applyInArrow(answers, ROW).write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
+    df.mapInArrow(workers.tidy(requests), ROW).groupBy("bucket").applyInArrow(workers.tidy_group(answers), ROW).write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
     return spark.read.schema(ROW).option("basePath", path).parquet(path)
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exchange
+from . import exchange, workers
 from .exchange import gaps, pack, slices, sums, unpack
 from .words import mix, pieces, word_hashes
 
@@ -280,4 +280,4 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             for i in range(batch.num_rows):
                 yield result(*(c[i].as_py() for c in batch.columns))
 
-    return _joined(state.select("block", "tokens", "docs"), named, exchange.by_block(bigrams, "pair_answers")).mapInArrow(results, SCHEMA)
+    return _joined(state.select("block", "tokens", "docs"), named, exchange.by_block(bigrams, "pair_answers")).mapInArrow(workers.tidy(results), SCHEMA)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, store
+from . import graph, store, workers
 from .words import mix, pieces, shingle_sets
 
 _STEP = 0x9E3779B1
@@ -96,7 +96,7 @@ def _features(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                     lo.append(b)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "hi", "lo", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
+    return docs.mapInArrow(workers.tidy(run), "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             for s, e, texts in _texts(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([x.tobytes() for x in shingle_sets(texts, k)], pa.binary())], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+    return docs.mapInArrow(workers.tidy(run), "node long, shingles binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -124,7 +124,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             keep = [_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(workers.tidy(run), "a long, b long")
 
 
 def tile_forest(nodes: list[int], labels: list[int], minor: list[bool], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -184,7 +184,7 @@ def _settled(live: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: i
         found = tile_forest(group["node"].to_pylist(), group["label"].to_pylist(), group["minor"].to_pylist(), [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()], num, den)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return dealt.groupBy("key", "tile").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("key", "tile").applyInArrow(workers.tidy_group(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, rows: int = 5, miss: float = 1e-6, tile: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,9 +192,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
 
     Links join documents whose ``k``-word shingle sets have a Jaccard similarity of ``num / den`` or more.
     """
+    workers.small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = store.written(_features(plain, k, rows, bands_for(num / den, rows, miss)), "minhash")
-    classes = features.where("hi IS NOT NULL AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = features.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.count("doc_id").alias("named")).where("named > 0")
     heads = features.join(classes.select("hi", "lo", F.col("rep").alias("doc_id")), ["hi", "lo", "doc_id"], "left_semi")
     entries = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("centre"), F.min_by("n", F.xxhash64("key", "node")).alias("n_centre"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "centre", "n_centre")
@@ -217,12 +218,14 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` of which each group keeps one document, all columns as they were.
 
-    The document kept is the one with the group's smallest id.  Of rows that repeat an id one stays; rows
-    without an id all stay, as nothing can name them.
+    The document kept is the one with the group's smallest id.  Of rows that repeat an id and its text one stays;
+    rows that share an id but not the text are judged as one node and stay or go together; rows without an id all stay, as nothing can name them.
     """
     key = F.col(options.get("id_col", "doc_id")).cast("long")
     gone = near_duplicates(docs, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.withColumn("__id", key).join(gone, F.col("__id") == F.col("__gone"), "left_anti")
     if docs.select(key.alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept.drop("__id")
-    return kept.where("__id IS NOT NULL").dropDuplicates(["__id"]).union(kept.where("__id IS NULL")).drop("__id")
+    text = F.col(options.get("text_col", "text")).cast("string")
+    keyed = kept.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
+    return keyed.where("__id IS NOT NULL").dropDuplicates(["__id", "__h1", "__h2"]).union(keyed.where("__id IS NULL")).drop("__id", "__h1", "__h2")

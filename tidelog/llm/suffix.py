@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exchange
+from . import exchange, workers
 from .exchange import gaps, pack, slices, sums, unpack
 from .words import mix, pieces
 
@@ -383,4 +383,4 @@ def remove_repeats(docs: DataFrame, *, least: int = 200, id_col: str = "doc_id",
                 yield from cut(*(c[i].as_py() for c in batch.columns))
 
     marked = state.select("block", "texts", "docs", "samples").join(asked, "block", "left").join(exchange.by_block(compared, "found"), "block", "left")
-    return marked.select("texts", "docs", "samples", "codes", "found").mapInArrow(run, SCHEMA)
+    return marked.select("texts", "docs", "samples", "codes", "found").mapInArrow(workers.tidy(run), SCHEMA)

@@ -8,10 +8,13 @@ many of its windows lie beyond each of several thresholds.
 
 The toxic dictionary's samples are the words of toxic documents that carry the class: words with a prefix
 whose document frequency in the two classes differs by a likelihood ratio of ``least_g2``.  All else of a
-toxic document is ordinary text.
+toxic document is ordinary text.  A word under 4 bytes counts as a whole.  Without this choice of samples the
+method does not separate the classes (README, with figures); words are judged by their first 10 bytes, and
+phrases of words that are harmless alone are not seen.
 
 Learning uses a bounded sample of labelled rows (``most_toxic``, ``most_ordinary`` documents of at most
-``most_chars`` characters, by hash of the id) on the driver; scoring runs over whole texts where they lie.
+``most_chars`` characters, by hash of the id, one row an id: 180 million characters at the very most) on the
+driver; scoring runs over whole texts where they lie.
 
 Defined results: a null or empty text is scored like a text with one plain window; rows without an id are
 scored and never learned from; label rows without an id or label are ignored, an id with both labels counts
@@ -32,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import workers
+
 MARK = b" \x01window of the text\x02"
 _LIMITS = (2, 3, 4, 5)
 _FIT_ROUNDS = 60
@@ -47,7 +52,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _prefixes(word: bytes) -> list[bytes]:
-    return [word[:n] for n in range(4, min(len(word), 10) + 1)]
+    return [word[:n] for n in range(4, min(len(word), 10) + 1)] or [word + b" "]
 
 
 def _g2(a: int, b: int, n1: int, n0: int) -> float:
@@ -78,7 +83,7 @@ class Model:
 class _Windows:
     """Length differences of windows; those of short words are remembered, up to ``most`` of them."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 200_000):
         import zstandard
 
         def compressor(data: bytes):
@@ -99,17 +104,6 @@ class _Windows:
         return np.fromiter(map(self.known.__getitem__, words), np.int8, len(words))
 
 
-_windows: dict[int, tuple[Model, _Windows]] = {}
-
-
-def _reader(model: Model) -> _Windows:
-    key = zlib.crc32(model.toxic + model.ordinary)
-    if key not in _windows or _windows[key][0] != model:
-        _windows.clear()
-        _windows[key] = model, _Windows(model)
-    return _windows[key][1]
-
-
 def _features(windows: _Windows, text: str | None) -> list[float]:
     d = windows.differences(_words(text))
     counts = [int((d >= t).sum()) for t in _LIMITS]
@@ -166,13 +160,14 @@ def train(toxic: list[str], ordinary: list[str], *, size: int = 4096, level: int
     return replace(model, weights=tuple(w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 3000, most_ordinary: int = 6000, most_chars: int = 100_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 3000, most_ordinary: int = 6000, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model:
     """Learn from labelled rows that are not held out; only the bounded sample comes to the driver."""
+    workers.small_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL").where(split_rest(F.col("__id")) != 1).groupBy("__id").agg(F.max("__y").alias("__y"))
     chosen = [marks.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in ((1, most_toxic), (0, most_ordinary))]
     ids = F.broadcast(chosen[0].union(chosen[1]))
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("t")).where(F.length(F.coalesce("t", F.lit(""))) <= most_chars).join(ids, "__id").collect()
-    rows = sorted({(zlib.crc32(str(r[0]).encode()), r[0], r["t"] or "", r["__y"]) for r in rows})
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("t")).where(F.length(F.coalesce("t", F.lit(""))) <= most_chars).join(ids, "__id").groupBy("__id", "__y").agg(F.max("t").alias("t")).collect()
+    rows = sorted((zlib.crc32(str(r[0]).encode()), r[0], r["t"] or "", r["__y"]) for r in rows)
     return train([t for *_, t, y in rows if y == 1][:most_toxic], [t for *_, t, y in rows if y == 0][:most_ordinary], **options)
 
 
@@ -180,12 +175,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """Per row: doc_id, held_out, score from 0 to 1 (higher: toxic is likelier), predicted (1 if score >= threshold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _reader(model)
+        windows = _Windows(model)
         for batch in batches:
             found = np.array([_features(windows, t) for t in batch.column(1).to_pylist()]).reshape(-1, 8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_probability(found, model))], ["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(workers.tidy(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(split_rest(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -194,9 +189,9 @@ def reject(docs: DataFrame, model: Model, *, text_col: str = "text", threshold:
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _reader(model)
+        windows = _Windows(model)
         for batch in batches:
             found = np.array([_features(windows, t) for t in batch.column(place).to_pylist()]).reshape(-1, 8)
             yield batch.filter(pa.array(_probability(found, model) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(workers.tidy(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, store
+from . import graph, store, workers
 
 BLOCK_DIMENSIONS = 16
 MOST_PIVOTS = 4096
@@ -166,7 +166,7 @@ def _found(vectors: DataFrame, d: int, cosine: float, tile: int, most_sample: in
 
     path = store.scratch(spark, "links")
     schema = "hi long, lo long, n long, a long, b long"
-    spread.groupBy("block", "cell", "tile").applyInArrow(run, schema).write.parquet(path)
+    spread.groupBy("block", "cell", "tile").applyInArrow(workers.tidy_group(run), schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
