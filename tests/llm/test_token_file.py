@@ -28,7 +28,7 @@ def test_block_round_trip():
 
 
 def test_encoder_equals_whole_text_encoding():
-    r, own, plain = random.Random(3), Encoder(PATH, most=50), tokenizers.Tokenizer.from_file(PATH)
+    r, own, plain = random.Random(3), Encoder(PATH, most_bytes=4000), tokenizers.Tokenizer.from_file(PATH)
     alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "<|endoftext|>", "é", " ", "1", ".", "​", "　", "\x1c", "\x85"]
     texts = ["".join(r.choices(alphabet, k=r.randint(0, 9))) for _ in range(3000)]
     for at in range(0, 3000, 100):

@@ -21,18 +21,21 @@ straddle blocks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
+from . import store, workers
 
 END_ID = 0
 _HEAD = struct.Struct("<4sHHQQQQQQ")
@@ -108,51 +111,95 @@ def open_block(payload: bytes) -> tuple[list[int | None], EliasFano, memoryview]
 
 
 _encoders: dict[str, Encoder] = {}
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
 
 
 class Encoder:
     """The tokenizer's ids of whole texts, with the ids of runs between single spaces remembered.
 
     Byte-level BPE first cuts a text into pre-tokens and a space always starts one when a non-space follows
-    it, so runs can be encoded apart; a text in which a space meets other white space is encoded whole.
-    New runs are encoded many to a text and told apart by the ids that begin with a space, of which each run
-    has one, its first.  The memory is emptied at ``most`` runs.
+    it, so runs can be encoded apart; a text in which a space meets other white space is encoded whole, and so
+    is every text if the tokenizer is of another kind.  New runs go many to a text: those of letters alone,
+    which are one pre-token each, straight through the merges, the others through the whole tokenizer, where
+    they are told apart by the ids that begin with a space, of which each run has one, its first.
+
+    What is remembered is held in two generations of ``most_bytes`` at the most: when the younger is full the
+    older goes, and what is met again moves up.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most_bytes: int = 72 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
-        self.meets = re.compile(r" \s")
+        self.tokenizer, self.most_bytes = Tokenizer.from_file(path), most_bytes
+        self.merges, self.letters = Tokenizer(self.tokenizer.model), _byte_letters()
+        kind = json.loads(self.tokenizer.to_str())
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.spaced = np.zeros(len(self.lengths), bool)
+        for x, i in vocabulary.items():
+            self.lengths[i], self.spaced[i] = len(x), x.startswith("\u0120")
+        own, special = kind["pre_tokenizer"] or {}, [x["content"] for x in kind["added_tokens"]]
+        self.cuts = kind["normalizer"] is None and own.get("type") == "ByteLevel" and own["use_regex"] and not own["add_prefix_space"] and kind["model"]["type"] == "BPE" and not any(x.isalpha() or re.search(r"\s", x) for x in special)
+        self.meets = re.compile(r" \s").search
+        self.unsettled = re.compile("[^\x00-\u0530]").search  # beyond, which characters are letters may depend on the library
+        self.known, self.older, self.held = {}, {}, 0
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, runs: list[str]) -> None:
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of letters with a space before them; a word's ids are told by the letters that they stand for."""
+        some = ["\u0120" + w if w.isascii() else (" " + w).encode().decode("latin-1").translate(self.letters) for w in words]
+        ids = np.array(self.merges.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        return _sliced(ids, np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) for w in some])) + 1)
+
+    def _joined(self, runs: list[str]) -> list[bytes]:
+        """Ids of any runs with a space before each."""
         ids = np.frombuffer(self._encoded([" " + " ".join(runs)])[0], "<u4")
         starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(runs):
-            self.known.update(zip(runs, self._encoded([" " + x for x in runs]), strict=True))
-            return
-        raw, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        self.known.update(zip(runs, [raw[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+        if len(starts) == len(runs):
+            return _sliced(ids, np.append(starts[1:], len(ids)))
+        return self._encoded([" " + x for x in runs])
+
+    def _learn(self, runs: set[str]) -> None:
+        """Put the ids of runs into ``known``."""
+        found = {x: i for x in runs if (i := self.older.get(x)) is not None}
+        new = runs - found.keys()
+        words = [x for x in new if x.isalpha() and (x.isascii() or not self.unsettled(x))]
+        for some, way in ((words, self._merged), (list(new.difference(words)), self._joined)):
+            for at in range(0, len(some), 512):
+                found.update(zip(some[at : at + 512], way(some[at : at + 512]), strict=True))
+        self.known.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + 180 * len(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids.  ``known`` is keyed by the run without the space before it."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        cut = [None if self.meets.search(text) else text.split(" ") for text in texts]
-        whole = [text for text, runs in zip(texts, cut, strict=True) if runs is None]
-        new = list(set().union(*[runs[1:] for runs in cut if runs]).difference(self.known))
-        for at in range(0, len(new), 512):
-            self._learn(new[at : at + 512])
-        apart = iter(self._encoded(whole + [runs[0] for runs in cut if runs]))
-        whole_ids, known = [next(apart) for _ in whole][::-1], self.known.__getitem__
-        return [whole_ids.pop() if runs is None else next(apart) + b"".join(map(known, runs[1:])) for runs in cut]
+        if self.held > self.most_bytes:
+            self.known, self.older, self.held = {}, self.known, 0
+        apart, cut, new, get = [], [], set(), self.known.get
+        for text in texts:
+            runs = text.split(" ") if self.cuts and not self.meets(text) else [text]
+            apart.append(runs[0])
+            ids = list(map(get, runs[1:]))
+            missed = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
+            names = [runs[1 + i] for i in missed]
+            new.update(names)
+            cut.append((ids, missed, names))
+        self._learn(new)
+        for ids, missed, names in cut:
+            for i, x in zip(missed, names, strict=True):
+                ids[i] = get(x)
+        return [first + b"".join(ids) for first, (ids, _, _) in zip(self._encoded(apart), cut, strict=True)]
+
+
+def _sliced(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+    return [raw[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -168,6 +215,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
     frequent; within a shard blocks are numbered by ``seq`` and know the shard's tokens before them.
     """
     spark = docs.sparkSession
+    workers.small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = np.array([END_ID], "<u4").tobytes()
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns({"__hash": F.xxhash64("text"), "__place": F.monotonically_increasing_id()})
@@ -187,8 +235,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
 
         own = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 for key, coded in zip(part.column(0).to_pylist(), own.encode(texts), strict=True):
                     keys.append(key)
@@ -199,7 +247,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
         if keys:
             yield flush()
 
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(workers.tidy(blocks), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -222,7 +270,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.join(F.broadcast(bases), "shard").select((F.col("base") + F.col("first_token")).alias("first"), "payload").mapInArrow(documents, TOKEN_SCHEMA)
+    return blocks.join(F.broadcast(bases), "shard").select((F.col("base") + F.col("first_token")).alias("first"), "payload").mapInArrow(workers.tidy(documents), TOKEN_SCHEMA)
 
 
 def token_file(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
