@@ -18,15 +18,16 @@ in one dimension, sums are running sums.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from functools import reduce as fold_left
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.times import Time, at_or_before, bound_columns, coordinates
+from ..functions.times import Order, Time, at_or_before, bound_columns, causal, coordinates
 from ..functions.values import row_order
 
 DIFF = "__diff"
@@ -72,6 +73,8 @@ class Collection:
     indexed = False
     #: Whether changes at a time can only be known when the time is closed.
     stateful = False
+    #: Whether it is only known while its loop runs (variables, and what leaves a loop within a loop).
+    unfinished = False
     #: The loop that the node belongs to; None at the top.
     scope: object | None = None
 
@@ -79,9 +82,21 @@ class Collection:
     def times(self) -> list[str]:
         return coordinates(self.depth)
 
-    @property
+    @cached_property
     def schema(self) -> StructType:
-        return self._changes().select(*self.columns).schema
+        """The rows' columns and types, from the plan's description alone: nothing runs for it."""
+        return self._described()
+
+    def _described(self) -> StructType:
+        own = self.inputs[0].schema
+        return StructType([StructField(c, f.dataType) for c, f in zip(self.columns, own.fields, strict=True)])
+
+    def _session(self) -> SparkSession:
+        return self.inputs[0]._session()
+
+    def _like(self, schema: StructType | None = None) -> DataFrame:
+        """An empty DataFrame with the schema (of the rows)."""
+        return self._session().createDataFrame([], schema or self.schema)
 
     def _changes(self) -> DataFrame:
         raise NotImplementedError
@@ -183,6 +198,96 @@ class Collection:
         own = self.distinct()
         return Union(own, Negate(Join(own, other.rename(*self.columns).distinct(), list(self.columns), True)))
 
+    def outer_join(self, other: Collection, key_columns: int | list[str] = 1, *, how: str = "left") -> Collection:
+        """:meth:`join`, and rows without a partner with nulls in the other side's place (``how``: left, right or full)."""
+        if how not in ("left", "right", "full"):
+            raise PlanError(f"how is left, right or full, not {how}")
+        both = self.join(other, key_columns)
+        out = both
+        if how != "right":
+            lone = [F.lit(None).cast(f.dataType).alias(c) for c, f in zip(both.columns[len(self.columns) :], both.schema.fields[len(self.columns) :], strict=True)]
+            out = out.union(self.anti_join(other, key_columns).map(*self.columns, *lone))
+        if how != "left":
+            keys, rest = _keys(other, key_columns)
+            names = dict(zip(both.left_keys, keys, strict=True))
+            own = [F.col(names[c]).alias(c) if c in names else F.lit(None).cast(f.dataType).alias(c) for c, f in zip(self.columns, self.schema.fields, strict=True)]
+            right_keys = keys if isinstance(key_columns, list) else key_columns
+            out = out.union(other.anti_join(self, right_keys).map(*own, *[F.col(c).alias(n) for c, n in zip(rest, both.columns[len(self.columns) :], strict=True)]))
+        return out
+
+    def range_join(self, other: Collection, point: str, low: str, high: str, width: int, key_columns: int | list[str] = 0) -> Collection:
+        """Pairs with ``low <= point <= high`` (and equal keys), found by buckets of ``width``.
+
+        A range is in as many buckets as it touches, so ``width`` should be about the usual length of a range.
+        """
+        left_keys, right_keys = _keys(self, key_columns)[0], _keys(other, key_columns)[0]
+        number = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+        left = self.map(number(point).alias("bucket_"), *self.columns).filter("bucket_ IS NOT NULL")
+        touched = F.sequence(number(low), number(high))
+        renamed = {c: f"right_{c}" if c in self.columns and c not in right_keys else c for c in other.columns}
+        right = other.filter(F.col(low) <= F.col(high)).map(F.explode(touched).alias("bucket_"), *[F.col(c).alias(n) for c, n in renamed.items()])
+        met = left.join(right, ["bucket_", *left_keys]) if left_keys else left.join(right, ["bucket_"])
+        inside = met.filter((F.col(renamed[low]) <= F.col(point)) & (F.col(point) <= F.col(renamed[high])))
+        return inside.project(*[c for c in inside.columns if c != "bucket_"])
+
+    def as_of_join(self, other: Collection, key_columns: int | list[str], on: str, other_on: str) -> Collection:
+        """Each distinct row with the latest row of ``other`` of its keys whose ``other_on`` is not after ``on``."""
+        met = self.distinct().join(other.distinct(), key_columns)
+        later = met.columns[len(self.columns) :]
+        keys, rest = _keys(other, key_columns)
+        place = dict(zip(rest, later, strict=True))[other_on]
+        return met.filter(F.col(place) <= F.col(on)).top(len(self.columns), 1, F.desc(place))
+
+    def windows(self, ts: str, width: int, step: int | None = None, name: str = "window") -> Collection:
+        """Rows with the start of each window [start, start + width) that holds ``ts``: tumbling, or sliding by ``step``."""
+        step = step or width
+        first = F.floor((F.col(ts) - width) / F.lit(step)) * step + step
+        starts = F.sequence(first.cast("long"), (F.floor(F.col(ts) / F.lit(step)) * step).cast("long"), F.lit(step).cast("long"))
+        return Map(self, [*self.columns, F.explode(starts).alias(name)])
+
+    def sessions(self, key_columns: int | list[str], ts: str, gap: int) -> Collection:
+        """(keys, start, end, n): a key's rows whose ``ts`` follow one another within ``gap``, at each time."""
+        keys, _ = _keys(self, key_columns)
+
+        def of(bags: DataFrame, groups: list[str]) -> DataFrame:
+            w = Window.partitionBy(*groups).orderBy(ts)
+            begins = F.when(F.col(ts) - F.lag(ts).over(w) <= gap, 0).otherwise(1)
+            counted = bags.withColumn("__begins", begins).withColumn("__session", F.sum("__begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            return counted.groupBy(*groups, "__session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.sum(DIFF).alias("n")).drop("__session")
+
+        spans = self.map(*keys, ts).filter(F.col(ts).isNotNull())
+        kind = spans.schema[ts].dataType
+        return Grouped(spans, len(keys), of, StructType([*spans.schema.fields[: len(keys)], StructField("start", kind), StructField("end", kind), StructField("n", LongType())]))
+
+    def rollup(self, key_columns: int | list[str], *aggregates: Aggregate, sets: list[tuple[int, ...]] | None = None) -> Collection:
+        """Reduces by each prefix of the keys, keys that are summed over as null; ``level`` has their number.
+
+        ``sets`` gives other grouping sets by the keys' places (all subsets: a cube).  Groups without rows go.
+        """
+        keys, _ = _keys(self, key_columns)
+        out = None
+        for own in sets if sets is not None else [tuple(range(n)) for n in range(len(keys), -1, -1)]:
+            names = [keys[i] for i in own]
+            part = self.reduce(names, *aggregates, empty_groups="drop")
+            columns = [F.col(k) if k in names else F.lit(None).cast(self.schema[k].dataType).alias(k) for k in keys]
+            part = part.map(*columns, F.lit(len(keys) - len(names)).alias("level"), *[a.name for a in aggregates])
+            out = part if out is None else out.union(part)
+        return out
+
+    def limit(self, n: int, *order: Column) -> Collection:
+        """The ``n`` first distinct rows of all in an order."""
+        return Top(self, 0, n, order)
+
+    def changes_for_key(self, *key) -> DataFrame:
+        """All changes of the rows whose first columns are ``key``; a filter that reaches the inputs."""
+        on = fold_left(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(self.columns, key, strict=False)])
+        return self.filter(on).changes()
+
+    def lower_bound(self) -> list[Time]:
+        """The least times (an antichain) at which there are changes; distinct times come to the driver."""
+        found = [tuple(r) for r in self.changes().select(*self.times).distinct().collect()]
+        return sorted(t for t in found if not any(causal(x, t) is Order.LT for x in found))
+
     def top(self, key_columns: int | list[str], n: int, *order: Column) -> Collection:
         """The ``n`` first rows of each key in an order (ties: all columns); rows count once."""
         return Top(self, key_columns, n, order)
@@ -219,6 +324,12 @@ class Input(Collection):
         self.log, self.depth = log, depth
         self.columns = [c for c in log.columns if c not in {*coordinates(depth), DIFF}]
 
+    def _described(self):
+        return self.log.select(*self.columns).schema
+
+    def _session(self):
+        return self.log.sparkSession
+
     def _changes(self) -> DataFrame:
         return self.log
 
@@ -253,7 +364,8 @@ class Map(_Linear):
         self.expressions = [F.col(e) if isinstance(e, str) else e for e in expressions]
         self.keeps_rows_apart = injective
         self._from(input_)
-        self.columns = input_._changes().select(*self.expressions).columns
+        self.schema = input_._like().select(*self.expressions).schema
+        self.columns = self.schema.names
         if any(c.startswith("__") for c in self.columns):
             raise PlanError("names that begin with __ are the engine's")
 
@@ -267,11 +379,12 @@ class MapRows(_Linear):
     def __init__(self, input_: Collection, function: Callable, out: str):
         self.function, self.out = function, out
         self._from(input_)
-        self.columns = input_._changes().sparkSession.createDataFrame([], out).columns
+        self.schema = self._session().createDataFrame([], out).schema
+        self.columns = self.schema.names
 
     def _each(self, df, carried):
         function, n = self.function, len(self.inputs[0].columns)
-        schema = StructType([*df.sparkSession.createDataFrame([], self.out).schema.fields, *df.select(*carried).schema.fields])
+        schema = StructType([*self.schema.fields, *[StructField(c, LongType()) for c in carried]])
 
         def run(batches):
             for batch in batches:
@@ -401,6 +514,11 @@ class Join(Collection):
             names.append(c)
         self.rest, self.columns = rest, [*left.columns, *names]
 
+    def _described(self):
+        left, right = (x.schema for x in self.inputs)
+        kinds = [*left.fields, *[right[c] for c in self.rest]]
+        return StructType([StructField(c, f.dataType) for c, f in zip(self.columns, kinds, strict=True)])
+
     def _joined(self, left: DataFrame, right: DataFrame, carried: list[str]) -> DataFrame:
         """Left columns as they are but for ``carried`` and the diff, which get a prefix on either side."""
         own = left.select(*self.inputs[0].columns, *[F.col(c).alias(f"__l{c}") for c in [*carried, DIFF]])
@@ -566,6 +684,32 @@ def concatenation(column: str, name: str = "concat", separator: str = "") -> Agg
     return Fold(name, F.lit(""), joined)
 
 
+class PythonFold(Aggregate):
+    """``step(acc, row, count)`` in Python over a group's rows in fold order, from ``init``; ``kind`` is the result's type.
+
+    With ``merge(a, b)`` (associative, ``init`` neutral) rows may be folded in parts of ``part`` rows each, whose
+    results are merged in order; without, a group is folded in one go.  Negative counts raise.
+    """
+
+    def __init__(self, name: str, kind: str, init, step: Callable, merge: Callable | None = None, part: int = 4096):
+        super().__init__(name, init)
+        self.kind, self.step, self.merge, self.part = kind, step, merge, part
+
+    def over(self, columns, schema):
+        init, step, merge, part = self.init, self.step, self.merge, self.part
+
+        def run(items):
+            if merge is None:
+                return fold_left(lambda acc, x: step(acc, tuple(x["r"]), x["n"]), items, init)
+            parts = [fold_left(lambda acc, x: step(acc, tuple(x["r"]), x["n"]), items[at : at + part], init) for at in range(0, len(items), part)]
+            return fold_left(merge, parts, init)
+
+        n = F.when(F.col(DIFF) > 0, F.col(DIFF)).otherwise(F.raise_error(F.lit("a fold met a negative multiplicity")).cast("long"))
+        item = F.struct(row_order(columns, schema).alias("o"), F.struct(*columns).alias("r"), n.alias("n"))
+        ordered = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["r"].alias("r"), x["n"].alias("n")))
+        return F.udf(run, self.kind)(ordered)
+
+
 class Reduce(Collection):
     """One row per key and time: key ++ values.
 
@@ -588,6 +732,11 @@ class Reduce(Collection):
             raise PlanError("a key and a value have one name")
         self.coalesced = self._sums
 
+    def _described(self):
+        source = self.inputs[0]
+        rows = source._like(StructType([*source.schema.fields, StructField(DIFF, LongType())]))
+        return self._values(rows, self.keys).select(*self.columns).schema
+
     @property
     def _sums(self) -> bool:
         return all(a.linear for a in self.aggregates) and self.depth == 1
@@ -649,14 +798,14 @@ class Reduce(Collection):
         if self.drop:
             values = values.where("__n <> 0" if linear else "__n IS NOT NULL")
         else:
-            seen = moments.restrict(source.changes(), self.depth) if _has_history(source) else bag
+            seen = moments.restrict(source._changes(), self.depth) if _has_history(source) else bag
             values = self._with_empty(values, seen.select(*keys).distinct(), keys)
         return values.select(*self.columns, *moments.keys, F.lit(1).cast("long").alias(DIFF))
 
 
 def _has_history(node: Collection) -> bool:
-    """Whether past changes of a node can be read (not within a loop's rounds)."""
-    return node.scope is None
+    """Whether past changes of a node can be read: unless it is what a loop is still computing."""
+    return node.scope is None or not any(x.unfinished for x in node.walk())
 
 
 class Top(Collection):
@@ -680,3 +829,28 @@ class Top(Collection):
 
     def _bag(self, moments):
         return self._first(self.inputs[0].at(moments), [*self.keys, *moments.keys]).select(*self.columns, *moments.keys, DIFF)
+
+
+class Grouped(Collection):
+    """Any function of the bags of keys, each evaluated as of each of the key's times.
+
+    ``function(bags, groups)`` gets (rows, groups, ``__diff``) and returns (groups, values), set-valued.
+    """
+
+    indexed = stateful = bag_coalesced = True
+
+    def __init__(self, input_: Collection, key_columns: int | list[str], function: Callable[[DataFrame, list[str]], DataFrame], schema: StructType):
+        self.inputs, self.depth, self.scope = (input_,), input_.depth, input_.scope
+        self.keys, _ = _keys(input_, key_columns)
+        self.function, self.schema, self.columns = function, schema, schema.names
+
+    def _changes(self):
+        df = self.inputs[0].changes()
+        nexts = [f"__next{t}" for t in self.times]
+        bags = as_of_grid(df, grid(df, self.keys, self.times), self.keys, self.inputs[0].columns, self.times)
+        values = self.function(bags, [*self.keys, *self.times, *nexts]).withColumn(DIFF, F.lit(1).cast("long"))
+        return differences(values, self.columns, self.times).select(*self.columns, *self.times, DIFF)
+
+    def _bag(self, moments):
+        values = self.function(self.inputs[0].at(moments), [*self.keys, *moments.keys])
+        return values.select(*self.columns, *moments.keys, F.lit(1).cast("long").alias(DIFF))

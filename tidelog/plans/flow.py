@@ -54,6 +54,12 @@ class FlowInput(nodes.Input):
     def log(self, value: DataFrame) -> None:
         self._schema_source = value
 
+    def _described(self):
+        return self._base.select(*self.columns).schema
+
+    def _session(self):
+        return self._base.sparkSession
+
     def push(self, row: tuple, time: Time = (0,), diff: int = 1) -> None:
         """Buffer a change.  Late data is an error, or is moved up to the frontier with ``late="reassign"``."""
         if not any(causal(t, time) in (Order.LT, Order.EQ) for t in self.frontier.times):
@@ -66,22 +72,25 @@ class FlowInput(nodes.Input):
     def push_frame(self, df: DataFrame) -> None:
         """Flush a DataFrame of changes in the log's form (columns, ``__t0``.., ``__diff``)."""
         df = df.select(*self._base.columns)
-        least_time = df.agg(*[F.min(t).alias(t) for t in self.times]).first()
-        if self.depth == 1 and least_time[0] is not None and least_time[0] < min(self.frontier.times)[0]:
+        past = lambda f: fold_left(lambda a, b: a & b, [F.col(t) >= x for t, x in zip(self.times, f, strict=True)])
+        in_time = fold_left(lambda a, b: a | b, [past(f) for f in self.frontier.times], F.lit(False))
+        late = df.where(~in_time).select(*self.times).first()
+        if late is not None:
             if self.late != "reassign":
-                raise LateData(f"{least_time[0]} is before the frontier {sorted(self.frontier.times)}")
-            df = df.withColumn("__t0", F.greatest("__t0", F.lit(min(self.frontier.times)[0])))
+                raise LateData(f"{tuple(late)} is before the frontier {sorted(self.frontier.times)}")
+            moved = min(self.frontier.times)
+            df = df.withColumns({t: F.when(in_time, F.col(t)).otherwise(F.greatest(F.col(t), F.lit(x))) for t, x in zip(self.times, moved, strict=True)})
         self.flush()
         self.flushed.append(df)
         self.trace.add("flush")
 
     def flush(self) -> None:
         if self._buffer:
-            self.flushed.append(log_like(self._like(), self._buffer))
+            self.flushed.append(log_like(self._form(), self._buffer))
             self.trace.add("flush", n=len(self._buffer))
             self._buffer = []
 
-    def _like(self) -> nodes.Input:
+    def _form(self) -> nodes.Input:
         return nodes.Input(self._base, self.depth)
 
     def advance(self, *time: int) -> None:

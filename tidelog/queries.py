@@ -8,6 +8,7 @@ each part key to its half.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,8 @@ from .functions.values import bucket, day_number
 from .operators import nodes
 from .operators.loops import Loop
 from .operators.nodes import DIFF, Collection
-from .plans.flow import Flow
+from .plans import graph
+from .plans.flow import Flow, Shard
 from .sources.logs import from_table
 
 EPOCH = "2024-01-01"
@@ -288,13 +290,181 @@ def q34(spark, d):
     return events(spark, d).compact(20).to_df()
 
 
+def q35(spark, d):
+    """Average quantity of suppliers' lines at each time, as changes."""
+    out = shipped(spark, d).reduce(1, nodes.total("qty", "total"), nodes.count("n"), nodes.average("qty", "mean"), empty_groups="drop")
+    return out.map("l_suppkey", "n", F.floor("mean").cast("long").alias("mean")).to_df()
+
+
+def rich(spark, d):
+    """Customers, and big orders as a right side."""
+    big = orders(spark, d).filter("price > 40000000").map("o_custkey", "price").distinct()
+    return static(spark, d, "customer", "c_custkey", "c_nationkey").filter("c_custkey % 3 <> 0").rename("o_custkey", "c_nationkey"), big
+
+
+def q36(spark, d):
+    left, right = rich(spark, d)
+    return left.outer_join(right, 1).rename("custkey", "nation", "price").to_df()
+
+
+def q37(spark, d):
+    left, right = rich(spark, d)
+    return bag(left.outer_join(right, 1, how="full").rename("custkey", "nation", "price").as_of(1996))
+
+
+def q38(spark, d):
+    """Parts whose size lies within a supplier's band, by buckets."""
+    parts = static(spark, d, "part", "p_partkey", "p_size")
+    bands = from_table(table(spark, d, "supplier"), ["s_suppkey", (F.col("s_suppkey") % 50).cast("int").alias("low"), (F.col("s_suppkey") % 50 + F.col("s_suppkey") % 4).cast("int").alias("high")])
+    return bag(parts.range_join(bands, "p_size", "low", "high", 5).as_of(0)).drop("diff")
+
+
+def second(column: str = "ts"):
+    return F.unix_timestamp(F.date_trunc("second", F.col(column))).alias("sec")
+
+
+def q39(spark, d):
+    """Each error with the last purchase of its user before it, as known on each day."""
+    kind = lambda k, n: from_table(table(spark, d, "events").where(F.col("event_type") == k), ["user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias(n)], time=day_number(F.col("ts"), EPOCH))
+    return bag(kind("error", "at").as_of_join(kind("purchase", "bought"), 1, "at", "bought").as_of(20)).drop("diff")
+
+
+def q40(spark, d):
+    """Sliding windows: events of each type in 2 days, every day, as of days."""
+    x = from_table(table(spark, d, "events"), ["event_type", second()], time=day_number(F.col("ts"), EPOCH))
+    return x.windows("sec", 172_800, 86_400).project("event_type", "window").reduce(2, nodes.count("n"), empty_groups="drop").to_df()
+
+
+def q41(spark, d):
+    """Sessions of users with gaps of at most two days, as changes by day."""
+    x = from_table(table(spark, d, "events").where("user_id % 5 = 0"), ["user_id", second()], time=day_number(F.col("ts"), EPOCH))
+    return x.sessions(1, "sec", 172_800).rename("user_id", "first", "last", "n").to_df()
+
+
+def q42(spark, d):
+    """Tumbling windows of a week as a change stream by day."""
+    x = from_table(table(spark, d, "events"), ["event_type", second()], time=day_number(F.col("ts"), EPOCH), diff=F.when(F.col("event_type") == "error", -1).otherwise(1))
+    return x.windows("sec", 604_800).project("event_type", "window").reduce(2, nodes.count("n"), empty_groups="drop").to_df()
+
+
+def q43(spark, d):
+    x = orders(spark, d).map("o_orderstatus", (F.col("o_custkey") % 4).alias("part"), "price")
+    return bag(x.rollup(2, nodes.total("price", "price"), nodes.count("n")).as_of(1996)).drop("diff")
+
+
+def q44(spark, d):
+    return orders(spark, d).map("price", "o_custkey").limit(5, F.desc("price")).to_df()
+
+
+def q45(spark, d):
+    """Row functions in Python: one row to one, and one to many."""
+    x = static(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    one = x.map_rows(lambda r: (r[1], r[0] * 2), "nation int, twice long")
+    many = x.flat_map_rows(lambda r: ((r[1], r[0] + i) for i in range(r[0] % 3)), "nation int, twice long")
+    return one.union(many).to_df()
+
+
+def q46(spark, d):
+    """A fold in Python whose parts are merged: orders' prices modulo a prime, summed."""
+    fold = nodes.PythonFold("rest", "long", 0, lambda acc, r, n: (acc + r[1] % 9973 * n), merge=lambda a, b: a + b, part=64)
+    return bag(orders(spark, d).map((F.col("o_custkey") % 50).alias("k"), "price").reduce(1, fold, empty_groups="drop").as_of(1996)).drop("diff")
+
+
+def q47(spark, d):
+    """Reach of G1 by node specifications in a validated graph, run as a shard with pushes."""
+    b = graph.GraphBuilder()
+    schema = "src long, dst long"
+    edges = b.add_node(0, graph.Input(schema))
+    loop = b.add_subgraph(0)
+    entered = b.add_node(loop, graph.TimestampPush(edges))
+    turned = b.add_node(loop, graph.Map(entered, ("dst", F.col("src").alias("from"))))
+    by_dst = b.add_node(loop, graph.Index(turned))
+    back = b.add_node(loop, graph.TimestampIncrement(schema))
+    by_src = b.add_node(loop, graph.Index(back))
+    met = b.add_node(loop, graph.Join((by_dst, by_src), 1))
+    step = b.add_node(loop, graph.Map(met, (F.col("from").alias("src"), F.col("dst_r").alias("dst"))))
+    both = b.add_node(loop, graph.Union((entered, step)))
+    index = b.add_node(loop, graph.Index(both))
+    found = b.add_node(loop, graph.Distinct(index))
+    b.connect_loop(found, back)
+    left = b.add_node(0, graph.TimestampPop(found))
+    out = b.add_node(0, graph.Output(left))
+    shard = Shard(spark, b.finish())
+    for r in table(spark, d, "region").select("r_regionkey").collect():
+        for t in range(3):
+            shard.push_input(edges, (r[0] + 10 * t, r[0] + 10 * t + 10), (0,), 1)
+    shard.push_input(edges, (10, 20), (1,), -1)
+    shard.flush_input(edges)
+    shard.advance_input(edges, (2,))
+    while shard.has_work():
+        shard.do_work()
+    return shard.pop_output(out).withColumnsRenamed({"__t0": "t", DIFF: "diff"})
+
+
+def q48(spark, d):
+    """A loop within a loop: nations reach their region's other nations' numbers by steps of one, then of regions."""
+    outer = Loop(spark)
+    pairs = outer.enter(static(spark, d, "nation", "n_nationkey", "n_regionkey"))
+    x = outer.variable("n_nationkey int, n_regionkey int")
+    inner = outer.loop()
+    base, y = inner.enter(pairs.union(x)), inner.variable("n_nationkey int, n_regionkey int")
+    y.fixpoint(base.union(y.filter("n_regionkey < 3").map("n_nationkey", (F.col("n_regionkey") + 1).alias("n_regionkey"))).distinct())
+    x.fixpoint(inner.leave(y).filter("n_nationkey < 40").map((F.col("n_nationkey") + 5).alias("n_nationkey"), "n_regionkey").distinct())
+    return bag(outer.leave(x).as_of(0)).drop("diff")
+
+
+def q49(spark, d):
+    """Emptied groups keep their init value inside a loop too."""
+    loop = Loop(spark)
+    inside = loop.enter(orders(spark, d).filter("o_orderstatus = 'F'").map((F.col("o_custkey") % 40).alias("k"), "price"))
+    sums = inside.reduce(1, nodes.total("price", "total"))
+    x = loop.variable("k long, total long")
+    x.fixpoint(sums.union(x.filter("k < 40").map((F.col("k") + 40).alias("k"), "total")).distinct())
+    return loop.leave(x).to_df()
+
+
+def q50(spark, d):
+    return events(spark, d).changes_for_key(7).withColumnsRenamed({"__t0": "t", DIFF: "diff"})
+
+
+def q51(spark, d):
+    """Pairs that reach one another but are not blocked, where the loop negates."""
+    loop = Loop(spark)
+    edges, blocked = loop.enter(halves(spark, d)), loop.enter(halves(spark, d).filter("src % 7 = 0"))
+    x = loop.variable("src long, dst long")
+    step = x.map(F.col("dst").alias("mid"), F.col("src").alias("from")).join(edges.rename("mid", "to"), ["mid"]).map(F.col("from").alias("src"), F.col("to").alias("dst"))
+    x.fixpoint(edges.union(blocked.negate()).union(step.filter("src % 7 <> 0")).distinct())
+    return loop.leave(x).as_of(0).drop(DIFF)
+
+
+def q52(spark, d):
+    return orders(spark, d).map("o_orderstatus", (F.col("o_custkey") % 10).alias("part")).rows_as_of(1996)
+
+
+def q53(spark, d):
+    """Changes written as Parquet and as ORC and read back."""
+    from .sources.logs import read_log, write
+    from .sources.storage import shared_dir
+
+    x, out = events(spark, d), None
+    for kind in ("parquet", "orc"):
+        path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+        write(x.filter("event_type = 'error'" if kind == "orc" else "event_type <> 'error'"), path, kind)
+        part = read_log(spark, path, kind)
+        out = part if out is None else out.union(part)
+    return out.to_df()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q01_coalesce": q01, "q02_as_of": q02, "q03_project": q03, "q04_map": q04, "q05_sum_as_of": q05, "q06_revenue_by_nation": q06,
     "q07_join_times": q07, "q08_self_join": q08, "q09_cross": q09, "q10_two_keys": q10, "q11_union": q11, "q12_union_distinct": q12,
     "q13_distinct_changes": q13, "q14_distinct_negative": q14, "q15_shared_index": q15, "q16_output_upto": q16, "q17_sum_changes": q17,
     "q18_count_changes": q18, "q19_max_changes": q19, "q20_ordered_fold": q20, "q21_global_sum": q21, "q22_empty_groups": q22,
     "q23_reach": q23, "q24_reach_cyclic": q24, "q25_reach_changes": q25, "q26_distances": q26, "q27_rounds": q27, "q28_filter": q28,
-    "q29_semi_anti": q29, "q30_set_operations": q30, "q31_tumbling_count": q31, "q32_ledger": q32, "q33_top": q33, "q34_compact": q34,
+    "q29_semi_anti": q29, "q30_set_operations": q30, "q31_tumbling_count": q31, "q32_ledger": q32, "q33_top": q33, "q34_compact": q34, "q35_average": q35, "q36_left_outer": q36,
+    "q37_full_outer": q37, "q38_range_join": q38, "q39_as_of_join": q39, "q40_sliding_windows": q40, "q41_sessions": q41, "q42_tumbling_changes": q42,
+    "q43_rollup": q43, "q44_limit": q44, "q45_python_rows": q45, "q46_python_fold": q46, "q47_graph_shard": q47, "q48_nested_loops": q48,
+    "q49_init_in_loop": q49, "q50_key_changes": q50, "q51_negation_in_loop": q51, "q52_plain_rows": q52, "q53_log_files": q53,
 }
 
 _COALESCED = "SELECT {0}, t, CAST(sum(d) AS BIGINT) AS diff FROM {1} GROUP BY ALL HAVING sum(d) <> 0"
@@ -358,4 +528,37 @@ ORACLES: dict[str, str] = {
         m AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, t ORDER BY price DESC, o_custkey) AS r FROM b),
         x AS (SELECT o_orderstatus, price, o_custkey, t, 1 AS d FROM m WHERE r <= 3 UNION ALL SELECT o_orderstatus, price, o_custkey, t1, -1 FROM m WHERE r <= 3 AND t1 IS NOT NULL) """ + _COALESCED.format("o_orderstatus, price, o_custkey", "x"),
     "q34_compact": f"WITH {E_SQL}, x AS (SELECT user_id, event_type, greatest(t, 20) AS t, d FROM e) " + _COALESCED.format("user_id, event_type", "x"),
+    "q35_average": f"WITH {L_SQL}, p AS (SELECT l_suppkey, t, sum(qty * d) AS p, sum(d) AS n FROM l GROUP BY ALL), v AS (SELECT l_suppkey, t, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(CASE WHEN sum(n) OVER w <> 0 THEN floor(sum(p) OVER w / sum(n) OVER w) END AS BIGINT) AS mean, lead(t) OVER w AS t1 FROM p WINDOW w AS (PARTITION BY l_suppkey ORDER BY t)), x AS (SELECT l_suppkey, n, mean, t, 1 AS d FROM v WHERE n <> 0 UNION ALL SELECT l_suppkey, n, mean, t1, -1 FROM v WHERE n <> 0 AND t1 IS NOT NULL) " + _COALESCED.format("l_suppkey, n, mean", "x"),
+    "q36_left_outer": f"""WITH {O_SQL}, b AS (SELECT o_custkey, price, t, sum(d) AS d FROM o WHERE price > 40000000 GROUP BY ALL HAVING sum(d) <> 0), n AS (SELECT o_custkey, price, t, CASE WHEN sum(d) OVER (PARTITION BY o_custkey, price ORDER BY t) <> 0 THEN 1 ELSE 0 END AS n FROM b),
+        r AS (SELECT o_custkey, price, t, n - lag(n, 1, 0) OVER (PARTITION BY o_custkey, price ORDER BY t) AS d FROM n), c AS (SELECT c_custkey AS custkey, c_nationkey AS nation FROM customer WHERE c_custkey % 3 <> 0),
+        k AS (SELECT o_custkey, t, sum(d) AS d FROM r GROUP BY ALL HAVING sum(d) <> 0), kn AS (SELECT o_custkey, t, CASE WHEN sum(d) OVER (PARTITION BY o_custkey ORDER BY t) <> 0 THEN 1 ELSE 0 END AS n FROM k), ks AS (SELECT o_custkey, t, n - lag(n, 1, 0) OVER (PARTITION BY o_custkey ORDER BY t) AS d FROM kn),
+        x AS (SELECT custkey, nation, price, t, d FROM c JOIN r ON custkey = o_custkey UNION ALL SELECT custkey, nation, NULL, 0, 1 FROM c UNION ALL SELECT custkey, nation, NULL, t, -d FROM c JOIN ks ON custkey = o_custkey) """ + _COALESCED.format("custkey, nation, price", "x"),
+    "q37_full_outer": f"""WITH {O_SQL}, r AS (SELECT o_custkey, price FROM o WHERE price > 40000000 AND t <= 1996 GROUP BY ALL HAVING sum(d) <> 0), c AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0)
+        SELECT coalesce(c_custkey, o_custkey) AS custkey, c_nationkey AS nation, price, CAST(1 AS BIGINT) AS diff FROM c FULL JOIN r ON c_custkey = o_custkey""",
+    "q38_range_join": "SELECT p_partkey, p_size, s_suppkey, CAST(s_suppkey % 50 AS INT) AS low, CAST(s_suppkey % 50 + s_suppkey % 4 AS INT) AS high FROM part JOIN supplier ON p_size BETWEEN s_suppkey % 50 AND s_suppkey % 50 + s_suppkey % 4",
+    "q39_as_of_join": """WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS moment FROM events WHERE date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) <= 20)
+        SELECT a.user_id, a.moment AS "at", max(b.moment) AS bought FROM (SELECT DISTINCT user_id, moment FROM e WHERE event_type = 'error') a JOIN e b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.moment <= a.moment GROUP BY ALL""",
+    "q40_sliding_windows": "WITH w0 AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t FROM events), e AS (SELECT event_type, t, 1 AS d, (sec // 86400 - i) * 86400 AS \"window\" FROM w0, (SELECT unnest([0, 1]) AS i))" + _SUMS.format("event_type, \"window\"", "e", "d", "event_type, \"window\", ", "n"),
+    "q41_sessions": """WITH s AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t FROM events WHERE user_id % 5 = 0),
+        k AS (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS t1 FROM (SELECT DISTINCT user_id, t FROM s)), b AS (SELECT k.user_id, k.t, k.t1, sec, count(*) AS n FROM k JOIN s ON k.user_id = s.user_id AND s.t <= k.t GROUP BY ALL),
+        g AS (SELECT *, CASE WHEN sec - lag(sec) OVER w <= 172800 THEN 0 ELSE 1 END AS g FROM b WINDOW w AS (PARTITION BY user_id, t ORDER BY sec)), h AS (SELECT *, sum(g) OVER (PARTITION BY user_id, t ORDER BY sec ROWS UNBOUNDED PRECEDING) AS h FROM g),
+        v AS (SELECT user_id, t, t1, min(sec) AS "first", max(sec) AS "last", CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY user_id, t, t1, h),
+        x AS (SELECT user_id, "first", "last", n, t, 1 AS d FROM v UNION ALL SELECT user_id, "first", "last", n, t1, -1 FROM v WHERE t1 IS NOT NULL) """ + _COALESCED.format('user_id, "first", "last", n', "x"),
+    "q42_tumbling_changes": "WITH e AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // 604800 * 604800 AS \"window\", CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS d FROM events)" + _SUMS.format("event_type, \"window\"", "e", "d", "event_type, \"window\", ", "n"),
+    "q43_rollup": f"WITH {O_SQL}, x AS (SELECT o_orderstatus, o_custkey % 4 AS part, price, d FROM o WHERE t <= 1996) SELECT o_orderstatus, part, CAST(grouping(o_orderstatus) + grouping(part) AS INT) AS level, CAST(sum(price * d) AS BIGINT) AS price, CAST(sum(d) AS BIGINT) AS n FROM x GROUP BY ROLLUP (o_orderstatus, part) HAVING sum(d) <> 0",
+    "q44_limit": f"""WITH {O_SQL}, c AS (SELECT price, o_custkey, t, sum(d) AS d FROM o GROUP BY ALL HAVING sum(d) <> 0), k AS (SELECT t, lead(t) OVER (ORDER BY t) AS t1 FROM (SELECT DISTINCT t FROM c)), b AS (SELECT k.t, k.t1, price, o_custkey FROM k JOIN c ON c.t <= k.t GROUP BY ALL HAVING sum(d) <> 0),
+        m AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY price DESC, o_custkey) AS r FROM b), x AS (SELECT price, o_custkey, t, 1 AS d FROM m WHERE r <= 5 UNION ALL SELECT price, o_custkey, t1, -1 FROM m WHERE r <= 5 AND t1 IS NOT NULL) """ + _COALESCED.format("price, o_custkey", "x"),
+    "q45_python_rows": "WITH x AS (SELECT s_nationkey AS nation, s_suppkey * 2 AS twice, 0 AS t, 1 AS d FROM supplier UNION ALL SELECT s_nationkey, s_suppkey + i, 0, 1 FROM supplier, range(2) r(i) WHERE i < s_suppkey % 3) SELECT nation, twice, CAST(t AS BIGINT) AS t, CAST(sum(d) AS BIGINT) AS diff FROM x GROUP BY ALL",
+    "q46_python_fold": f"WITH {O_SQL}, x AS (SELECT o_custkey % 50 AS k, price, sum(d) AS d FROM o WHERE t <= 1996 GROUP BY ALL HAVING sum(d) <> 0) SELECT k, CAST(sum(price % 9973 * d) AS BIGINT) AS rest FROM x GROUP BY k",
+    "q47_graph_shard": """WITH RECURSIVE e AS (SELECT CAST(r_regionkey + 10 * i AS BIGINT) AS src, CAST(r_regionkey + 10 * i + 10 AS BIGINT) AS dst FROM region, range(3) t(i)), f AS (SELECT * FROM e WHERE NOT (src = 10 AND dst = 20)),
+        r0 AS (SELECT src, dst FROM e UNION SELECT r0.src, e.dst FROM r0 JOIN e ON r0.dst = e.src), r1 AS (SELECT src, dst FROM f UNION SELECT r1.src, f.dst FROM r1 JOIN f ON r1.dst = f.src)
+        SELECT src, dst, CAST(0 AS BIGINT) AS t, CAST(1 AS BIGINT) AS diff FROM r0 UNION ALL SELECT src, dst, 1, -1 FROM (SELECT * FROM r0 EXCEPT SELECT * FROM r1)""",
+    "q48_nested_loops": """WITH RECURSIVE r AS (SELECT n_nationkey AS n, n_regionkey AS k, false AS x FROM nation UNION
+        SELECT n + 5 * i, k + 1 - i, x OR i = 1 FROM r, (SELECT unnest([0, 1]) AS i) WHERE (i = 0 AND k < 3) OR (i = 1 AND n < 40))
+        SELECT DISTINCT CAST(n AS INT) AS n_nationkey, CAST(k AS INT) AS n_regionkey FROM r WHERE x""",
+    "q49_init_in_loop": f"WITH {O_SQL}, p AS (SELECT o_custkey % 40 AS k, t, sum(price * d) AS p FROM (SELECT * FROM o WHERE o_orderstatus = 'F') GROUP BY ALL), v AS (SELECT k, t, CAST(sum(p) OVER w AS BIGINT) AS total, lead(t) OVER w AS t1 FROM p WINDOW w AS (PARTITION BY k ORDER BY t)), x AS (SELECT k + i AS k, total, t, 1 AS d FROM v, (SELECT unnest([0, 40]) AS i) UNION ALL SELECT k + i, total, t1, -1 FROM v, (SELECT unnest([0, 40]) AS i) WHERE t1 IS NOT NULL) " + _COALESCED.format("k, total", "x"),
+    "q50_key_changes": f"WITH {E_SQL} " + _COALESCED.format("user_id, event_type", "(SELECT * FROM e WHERE user_id = 7)"),
+    "q51_negation_in_loop": f"WITH RECURSIVE {G2_SQL}, r AS (SELECT src, dst FROM g WHERE src % 7 <> 0 UNION SELECT r.src, g.dst FROM r JOIN g ON r.dst = g.src WHERE r.src % 7 <> 0) SELECT src, dst FROM r",
+    "q52_plain_rows": f"WITH {O_SQL}, x AS (SELECT o_orderstatus, o_custkey % 10 AS part, sum(d) AS n FROM o WHERE t <= 1996 GROUP BY ALL HAVING sum(d) > 0) SELECT o_orderstatus, part FROM x, LATERAL (SELECT unnest(range(CAST(n AS BIGINT))))",
+    "q53_log_files": f"WITH {E_SQL} " + _COALESCED.format("user_id, event_type", "e"),
 }

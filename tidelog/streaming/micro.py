@@ -89,26 +89,33 @@ def join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_sums(changes: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, sum, __t0, __diff): per micro-batch, the old sum of each changed key retracted and the new inserted.
+    """(key, sum, __t0, __diff): at each time of a key's changes, the old sum retracted and the new inserted.
 
-    State is one number and one count a key.  The batch's changes to a key take effect at their latest time.
+    State is the sum, the live count and the last time of each key; a key whose count is zero has no row.  Sums
+    of integers are exact longs, others doubles.  A change before its key's last time of an earlier batch raises.
     """
     kind = changes.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, sum double, __t0 long, {DIFF} long"
+    number = "long" if changes.schema[value].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "double"
+    zero = int if number == "long" else float
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        had = state.exists
-        before = state.get[0] if had else 0.0
-        after, at = before, None
+        total, live, last = state.get if state.exists else (zero(0), 0, None)
+        by_time: dict[int, list] = {}
         for f in frames:
-            after += float((f[value] * f[DIFF]).sum())
-            at = int(f["__t0"].max()) if at is None else max(at, int(f["__t0"].max()))
-        state.update((after,))
-        if had and after == before:
-            return
-        rows = [(k[0], after, at, 1)]
-        if had:
-            rows.append((k[0], before, at, -1))
-        yield pd.DataFrame(rows, columns=[key, "sum", "__t0", DIFF])
-
-    return changes.groupBy(key).applyInPandasWithState(step, out, "sum double", "append", "NoTimeout")
+            for v, t, d in zip(f[value].tolist(), f["__t0"].tolist(), f[DIFF].tolist(), strict=True):
+                own = by_time.setdefault(int(t), [zero(0), 0])
+                own[0], own[1] = own[0] + (zero(v) * int(d) if v == v and v is not None else 0), own[1] + int(d)
+        rows = []
+        for t in sorted(by_time):
+            if last is not None and t < last:
+                raise ValueError(f"late data: {t} is before {last}")
+            before, had = total, live != 0
+            total, live, last = total + by_time[t][0], live + by_time[t][1], t
+            if had and live != 0 and before == total:
+                continue
+            rows += [(k[0], before, t, -1)] * had + [(k[0], total, t, 1)] * (live != 0)
+        state.update((total, live, last))
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, "sum", "__t0", DIFF])
+
+    return changes.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, sum {number}, __t0 long, {DIFF} long", f"sum {number}, live long, last long", "append", "NoTimeout")
