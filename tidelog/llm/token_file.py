@@ -32,14 +32,18 @@ from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store, workers
+from .words import pieces
 
 END_ID = 0
 _HEAD = struct.Struct("<4sHHQQQQQQ")
 _EVERY = 64
+#: Characters that are encoded at once, unless one text has more.
+PIECE = 4 << 20
 BLOCK_SCHEMA = "shard int, seq int, first_token long, n_docs long, n_tokens long, payload binary"
 TOKEN_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -111,6 +115,8 @@ def open_block(payload: bytes) -> tuple[list[int | None], EliasFano, memoryview]
 
 
 _encoders: dict[str, Encoder] = {}
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on in order."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -152,9 +158,22 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, words: list[str]) -> list[bytes]:
-        """Ids of letters with a space before them; a word's ids are told by the letters that they stand for."""
-        some = ["\u0120" + w if w.isascii() else (" " + w).encode().decode("latin-1").translate(self.letters) for w in words]
+    def _word(self, run: str) -> bool:
+        """Whether a run is letters alone, which the tokenizer takes as one pre-token."""
+        return run.isalpha() and (run.isascii() or not self.unsettled(run))
+
+    def _first(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs with no space before them."""
+        words = [self.cuts and self._word(x) for x in runs]
+        ways = iter(self._merged([x for x, w in zip(runs, words, strict=True) if w], "")), iter(self._encoded([x for x, w in zip(runs, words, strict=True) if not w]))
+        return [next(ways[0] if w else ways[1]) for w in words]
+
+    def _merged(self, words: list[str], before: str = " ") -> list[bytes]:
+        """Ids of letters with ``before`` before them; a word's ids are told by the letters that they stand for."""
+        if not words:
+            return []
+        plain = before.translate(self.letters)
+        some = [plain + w if w.isascii() else (before + w).encode().decode("latin-1").translate(self.letters) for w in words]
         ids = np.array(self.merges.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
         return _sliced(ids, np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) for w in some])) + 1)
 
@@ -170,7 +189,7 @@ class Encoder:
         """Put the ids of runs into ``known``."""
         found = {x: i for x in runs if (i := self.older.get(x)) is not None}
         new = runs - found.keys()
-        words = [x for x in new if x.isalpha() and (x.isascii() or not self.unsettled(x))]
+        words = list(filter(self._word, new))
         for some, way in ((words, self._merged), (list(new.difference(words)), self._joined)):
             for at in range(0, len(some), 512):
                 found.update(zip(some[at : at + 512], way(some[at : at + 512]), strict=True))
@@ -178,23 +197,38 @@ class Encoder:
         self.held += sum(map(len, found)) + sum(map(len, found.values())) + 180 * len(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids.  ``known`` is keyed by the run without the space before it."""
+        """Each text's ids.  ``known`` is keyed by the run without the space before it.
+
+        All texts' runs become numbers of their distinct runs, so each of those is looked up once, and the ids
+        are gathered by number.
+        """
         if self.held > self.most_bytes:
             self.known, self.older, self.held = {}, self.known, 0
-        apart, cut, new, get = [], [], set(), self.known.get
-        for text in texts:
-            runs = text.split(" ") if self.cuts and not self.meets(text) else [text]
-            apart.append(runs[0])
-            ids = list(map(get, runs[1:]))
-            missed = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
-            names = [runs[1 + i] for i in missed]
-            new.update(names)
-            cut.append((ids, missed, names))
-        self._learn(new)
-        for ids, missed, names in cut:
-            for i, x in zip(missed, names, strict=True):
-                ids[i] = get(x)
-        return [first + b"".join(ids) for first, (ids, _, _) in zip(self._encoded(apart), cut, strict=True)]
+        whole = [not self.cuts or self.meets(x) is not None for x in texts]
+        cut = pc.split_pattern(pa.array([None if w else x for x, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        offsets, coded = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        firsts = offsets[:-1][~np.array(whole, bool)]
+        apart = iter(cut.values.take(pa.array(firsts)).to_numpy(zero_copy_only=False).tolist())
+        first = self._first([x if w else next(apart) for x, w in zip(texts, whole, strict=True)])
+        later = np.ones(len(cut.values), bool)
+        later[firsts] = False
+        codes = coded.indices.to_numpy()[later]
+        used = np.bincount(codes, minlength=len(coded.dictionary)) > 0
+        names = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, names))
+        missed = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
+        self._learn({names[i] for i in missed})
+        for i in missed:
+            ids[i] = self.known[names[i]]
+        codes = (np.cumsum(used) - 1)[codes]
+        held = pa.array(ids, pa.large_binary())
+        bounds = np.frombuffer(held.buffers()[1], np.int64, len(ids) + 1) // 4
+        starts, lengths = bounds[codes], np.diff(bounds)[codes]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        pool = np.frombuffer(held.buffers()[2] or b"", "<u4", bounds[-1])
+        gathered = pool[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)]
+        words = np.concatenate(([0], np.cumsum(later)))[offsets[1:]] if len(later) else np.zeros(len(texts), np.int64)
+        return [x + y for x, y in zip(first, _sliced(gathered, ends[words]), strict=True)]
 
 
 def _sliced(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -235,10 +269,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
 
         own = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for key, coded in zip(part.column(0).to_pylist(), own.encode(texts), strict=True):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for s, e in pieces([len(x) for x in texts], PIECE):
+                for key, coded in zip(batch.column(0).slice(s, e - s).to_pylist(), own.encode(texts[s:e]), strict=True):
                     keys.append(key)
                     ids.append(coded + end)
                     held += len(coded) // 4 + 1
