@@ -37,13 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store, workers
-from .words import pieces
 
 END_ID = 0
 _HEAD = struct.Struct("<4sHHQQQQQQ")
 _EVERY = 64
 #: Characters that are encoded at once, unless one text has more.
-PIECE = 4 << 20
+PIECE = 8 << 20
 BLOCK_SCHEMA = "shard int, seq int, first_token long, n_docs long, n_tokens long, payload binary"
 TOKEN_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -242,6 +241,22 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(keys, texts) of consecutive rows with about :data:`PIECE` characters, whatever the batches."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            text = text or ""
+            if keys and held + len(text) > PIECE:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            held += len(text)
+    if keys:
+        yield keys, texts
+
+
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, block_tokens: int = 1 << 20) -> None:
     """Encode every text, append :data:`END_ID`, and write blocks in ascending id order to ``path``.
 
@@ -268,15 +283,13 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, *, id_col: str
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "seq", "first_token", "n_docs", "n_tokens", "payload"])
 
         own = encoder(tokenizer)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for s, e in pieces([len(x) for x in texts], PIECE):
-                for key, coded in zip(batch.column(0).slice(s, e - s).to_pylist(), own.encode(texts[s:e]), strict=True):
-                    keys.append(key)
-                    ids.append(coded + end)
-                    held += len(coded) // 4 + 1
-                    if held >= block_tokens:
-                        yield flush()
+        for names, texts in _gathered(batches):
+            for key, coded in zip(names, own.encode(texts), strict=True):
+                keys.append(key)
+                ids.append(coded + end)
+                held += len(coded) // 4 + 1
+                if held >= block_tokens:
+                    yield flush()
         if keys:
             yield flush()
 
