@@ -8,25 +8,34 @@ from pyspark.sql import functions as F
 from . import store
 
 
+def _with_least(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (a, b) with ``m``, the least b of their a, and (a, m).
+
+    A node's rows are dealt by part as well, the part being a hash of b, so no task holds a hub: minima of parts are
+    as many as there are shuffle partitions at the most, and go back to those parts of the node that exist.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).repartition("a", "part")
+    least = dealt.groupBy("a", "part").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
+    back = least.select("a", "m", F.explode("parts").alias("part"))
+    return dealt.join(back, ["a", "part"]).select("a", "b", "m"), least.select("a", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    met, _ = _with_least(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
+    return met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b")))
+    met, least = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    return met.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) for each node of ``edges`` (a, b); the label is the component's smallest node.
 
-    Alternating large-star and small-star rounds: minima by partial aggregation, so a node with very many
-    neighbours is summed where its edges lie, and only the join back can be skewed, which adaptive execution
-    splits.  Every round ends in ``checkpoint()``.  Edges with a null end and loops are left out.
+    Alternating large-star and small-star rounds, in which a node with very many neighbours is dealt over all
+    partitions.  Every round ends in ``checkpoint()``.  Edges with a null end and loops are left out.
     """
     now = store.cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
