@@ -68,3 +68,32 @@ def test_true_prefixes_of_a_template_that_numbers_turns(spark):
     spans = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), numbered).orderBy("seq").collect()
     assert [s.formatted for s in spans] == [f"[{i + 1}]a{i}" for i in range(70)]
     assert not spans[-1].rewrites
+
+
+def late_rewriting(turns):
+    """Changes its first letter once the text is long: local until then."""
+    text = chat.instruct_template(turns)
+    return "{" + text[1:] if len(text) > 17_000_000 else text
+
+
+def test_rewriting_past_16_million_characters_is_detected(spark):
+    rows = [(1, t, "user", f"{t:06}" + "long" * 100_000) for t in range(45)]
+    last = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), late_rewriting, local=True).where("seq = 44").select("rewrites").collect()[0]
+    assert last.rewrites
+
+
+@pytest.mark.parametrize("template", [rewriting, far_rewriting, lambda turns: "".join(f"[{i + 1}]{t}" for i, (_, t) in enumerate(turns))])
+def test_a_broken_promise_of_locality_gives_true_prefixes(spark, template):
+    df = spark.createDataFrame([(c, t, "user", f"a{t}") for c in (1, 2) for t in range(70)], "conv_id long, turn long, role string, text string")
+    whole, local = (chat.format_conversations(df, template, local=x).orderBy("conv_id", "seq").collect() for x in (False, True))
+    assert local == whole
+
+
+def test_the_query_renders_whole_prefixes(spark, monkeypatch, tmp_path):
+    from tidelog.llm import queries
+
+    spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    asked = []
+    monkeypatch.setattr(chat, "format_conversations", lambda df, f=chat.format_conversations, **options: asked.append(options) or f(df, **options))
+    assert queries.op9_chat_format(spark, str(tmp_path)).count() == 2
+    assert not asked[0].get("local")

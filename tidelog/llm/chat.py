@@ -6,10 +6,11 @@ with the one before it the template rewrites history, and the conversation is ma
 
 Every prefix is rendered whole, so a conversation's turns are in one task's memory and the work grows with the
 square of its length; that is what a black box asks for.  A caller who knows that the template is local (what a
-turn looks like depends on no turn but the one before it) can say so with ``local=True``: long conversations
-are then rendered in segments of ``segment`` turns, each after the last turn of the segment before it, which
-takes the memory of a segment and work in proportion.  The promise is checked, not trusted: whenever the
-prefix has doubled, up to ``whole_chars`` characters, it is rendered whole and compared with the spans.
+turn looks like depends on no turn but the one before it) can say so with ``local=True``: conversations are then
+rendered in segments of ``segment`` turns, each after the last turn of the segment before it, with work in
+proportion.  The promise is checked, not trusted, at whatever length: each prefix twice as long as the one
+checked before it, and the whole conversation, must equal the spans so far.  Where one doesn't, all true
+prefixes of that conversation are rendered instead, so the spans are those of ``local=False``.
 
 Rows are sorted by (conversation, turn, role, text) within partitions and streamed, and Spark spills the sort.
 
@@ -21,8 +22,9 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,17 +74,11 @@ def parse(formatted: str) -> Iterator[tuple[str, str, int, int]]:
 class _Conversation:
     """Feeds turns one by one; gives each turn's span text and whether history was rewritten so far."""
 
-    def __init__(self, template: Callable[[list[Turn]], str], segment: int | None, whole_chars: int):
-        self.template, self.segment, self.whole_chars = template, segment, whole_chars  # no segment: whole prefixes
-        self.turns: list[Turn] = []
-        self.before, self.length, self.rewrites, self.n, self.check = "", 0, False, 0, 2
-        self.all: list[Turn] | None = [] if segment else None
-        self.seen = hashlib.sha256()
+    def __init__(self, template: Callable[[list[Turn]], str], history: list[Turn] | None = None):
+        self.template, self.turns, self.rewrites = template, list(history or []), False
+        self.before = template(self.turns) if self.turns else ""
 
     def add(self, turn: Turn) -> str:
-        if self.segment and len(self.turns) > self.segment:
-            self.turns = self.turns[-1:]
-            self.before = self.template(self.turns)
         self.turns.append(turn)
         now = self.template(self.turns)
         if now.startswith(self.before):
@@ -91,29 +87,35 @@ class _Conversation:
             self.rewrites = True
             same = next((i for i, (a, b) in enumerate(zip(self.before, now, strict=False)) if a != b), min(len(now), len(self.before)))
             span = now[same:]
-        self.before, self.length, self.n = now, self.length + len(span), self.n + 1
-        self.seen.update(span.encode("utf-8", "surrogatepass"))
-        if self.all is not None:
-            self.all.append(turn)
-            if self.length > self.whole_chars:
-                self.all = None
-            elif self.n == self.check:
-                self.check *= 2
-                self._compare()
+        self.before = now
         return span
 
-    def _compare(self) -> None:
-        if hashlib.sha256(self.template(self.all).encode("utf-8", "surrogatepass")).digest() != self.seen.digest():
-            self.rewrites = True
 
-    def end(self) -> bool:
-        if self.all is not None:
-            self._compare()
-        return self.rewrites
+def _whole_spans(template: Callable[[list[Turn]], str], turns: Iterable[Turn]) -> Iterator[tuple[str, bool]]:
+    """(span, whether history was rewritten so far) of each turn, all prefixes rendered whole."""
+    conv = _Conversation(template)
+    for turn in turns:
+        yield conv.add(turn), conv.rewrites
+
+
+def _local_spans(template: Callable[[list[Turn]], str], turns: Iterable[Turn], segment: int) -> list[tuple[str, bool]]:
+    """The same from segments, if the prefixes checked add up to their spans; else from whole prefixes."""
+    turns, out, seen, check = list(turns), [], hashlib.sha256(), 2
+    conv = _Conversation(template)
+    for n, turn in enumerate(turns, 1):
+        if len(conv.turns) > segment:
+            conv = _Conversation(template, turns[n - 2 : n - 1])
+        out.append((conv.add(turn), False))
+        seen.update(out[-1][0].encode("utf-8", "surrogatepass"))
+        if n == check or n == len(turns):
+            check *= 2
+            if conv.rewrites or hashlib.sha256(template(turns[:n]).encode("utf-8", "surrogatepass")).digest() != seen.digest():
+                return list(_whole_spans(template, turns))
+    return out
 
 
 def format_conversations(
-    conversations: DataFrame, template: Callable[[list[Turn]], str] = instruct_template, *, mask: Callable[[str], tuple[int, int] | None] | None = None, loss_roles: tuple[str, ...] = ("assistant",), local: bool = False, segment: int = 32, whole_chars: int = 1 << 24, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    conversations: DataFrame, template: Callable[[list[Turn]], str] = instruct_template, *, mask: Callable[[str], tuple[int, int] | None] | None = None, loss_roles: tuple[str, ...] = ("assistant",), local: bool = False, segment: int = 32, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
     """One row per turn: its span in the conversation's formatted text, the span under the loss mask, and its text.
 
@@ -126,28 +128,24 @@ def format_conversations(
     ordered = kept.repartition("c").sortWithinPartitions("c", "t", "r", "x").select("c", "r", "x")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, conv, key, at, size = [], None, None, 0, 0
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
         names = ["conv_id", "seq", "role", "start", "stop", "loss_start", "loss_stop", "formatted", "rewrites"]
 
         def flush(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-        for batch in batches:
-            for c, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if conv is None or c != key:
-                    if held:
-                        held[-1][8] = conv.end()
-                    conv, key, at = _Conversation(template, segment if local else None, whole_chars), c, 0
-                if size > 1 << 22:  # only now is it known that the last row kept is not its conversation's last
+        held, size = [], 0
+        for c, rows in itertools.groupby((row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns), strict=True)), lambda row: row[0]):
+            roles, at = [], 0
+            turns = ((role, text) for _, role, text in rows if not roles.append(role))
+            for n, (span, rewrites) in enumerate(_local_spans(template, turns, segment) if local else _whole_spans(template, turns)):
+                inner = mask(span) if roles[n] in loss_roles else None
+                held.append([c, n, roles[n], at, at + len(span), *((at + inner[0], at + inner[1]) if inner else (None, None)), span, rewrites])
+                at, size = at + len(span), size + len(span)
+                if size > 1 << 22:
                     yield flush(held)
                     held, size = [], 0
-                span = conv.add((role, text))
-                inner = mask(span) if role in loss_roles else None
-                held.append([c, conv.n - 1, role, at, at + len(span), *((at + inner[0], at + inner[1]) if inner else (None, None)), span, conv.rewrites])
-                at, size = at + len(span), size + len(span)
         if held:
-            held[-1][8] = conv.end()
             yield flush(held)
 
     return ordered.mapInArrow(spans, SPAN_SCHEMA)
