@@ -53,6 +53,16 @@ def test_components(spark):
     assert graph.connected_components(df.limit(0)).collect() == []
 
 
+def test_component_rounds_read_links_once_and_free_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    for star in (graph._large_star, graph._small_star):
+        assert "Union" not in star(df)._jdf.queryExecution().optimizedPlan().toString()
+    freed = []
+    monkeypatch.setattr(graph.store, "let_go", lambda s, f=graph.store.let_go: freed.append(f(s)))
+    assert {r.label for r in graph.connected_components(df).collect()} == {0}
+    assert len(freed) > 1
+
+
 def brute(rows, k, num, den):
     sets = brute_sets([t for _, t in rows], k)
     ids = [i for i, _ in rows]

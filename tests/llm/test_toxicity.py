@@ -54,3 +54,11 @@ def test_too_few_labels(spark, labels):
     d = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert [r.score for r in toxicity.score(d, model).collect()] == [0.0, 0.0]
+
+
+def test_fitting_gives_the_sample_back(spark, monkeypatch):
+    docs, labels = corpus(60)
+    given = []
+    monkeypatch.setattr(toxicity.workers, "give_back", lambda f=toxicity.workers.give_back: given.append(f()))
+    assert toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).known
+    assert given

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import workers
+from . import store, workers
 
 MARK = b" \x01window of the text\x02"
 _LIMITS = (2, 3, 4, 5)
@@ -168,7 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 3000, most_ordi
     ids = F.broadcast(chosen[0].union(chosen[1]))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("t")).where(F.length(F.coalesce("t", F.lit(""))) <= most_chars).join(ids, "__id").groupBy("__id", "__y").agg(F.max("t").alias("t")).collect()
     rows = sorted((zlib.crc32(str(r[0]).encode()), r[0], r["t"] or "", r["__y"]) for r in rows)
-    return train([t for *_, t, y in rows if y == 1][:most_toxic], [t for *_, t, y in rows if y == 0][:most_ordinary], **options)
+    try:
+        return train([t for *_, t, y in rows if y == 1][:most_toxic], [t for *_, t, y in rows if y == 0][:most_ordinary], **options)
+    finally:  # the sample was the driver's largest holding, in Python and in the JVM that gathered it
+        del rows
+        store.let_go(docs.sparkSession)
+        workers.give_back()
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
