@@ -36,6 +36,32 @@ def test_encoder_equals_whole_text_encoding():
         assert own.encode(part) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
 
 
+def test_runs_with_punctuation_are_cut_here(monkeypatch):
+    own, plain = Encoder(PATH), tokenizers.Tokenizer.from_file(PATH)
+    monkeypatch.setattr(own, "_joined", lambda runs: pytest.fail(f"through the whole tokenizer: {runs}"))
+    texts = ["a thing, thing. (thing) it's 'tis 12% of\nThings.\n\nthe\x1cend été!", "a thing; Things", "a "]
+    assert own.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("first", range(0, 0x540, 0x70))
+def test_every_character_is_cut_as_the_tokenizer_cuts_it(first):
+    own, plain = Encoder(PATH), tokenizers.Tokenizer.from_file(PATH)
+    texts = [x for c in map(chr, range(first, first + 0x70)) for x in (f"a{c}b {c}", f"x {c}{c}a{c}\n{c}1", f"x .{c}1{c}'s 're{c}<|endoftext|>{c}", c)]
+    assert own.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize(("letters", "options"), [("Ġabcd,.", {}), ("ĠabcdÀ,.", {}), ("ĠabcdÀ,.", {"ignore_merges": True}), ("ĠabcÀ,.", {"unk_token": "d", "fuse_unk": True})])
+def test_other_vocabularies(tmp_path, letters, options):
+    names = [*dict.fromkeys([*letters, "d", "ab", "Ġab", "abcd", "cÀ"])]
+    model = tokenizers.models.BPE({x: i for i, x in enumerate(names)}, [("a", "b"), ("Ġ", "ab")], **options)
+    plain = tokenizers.Tokenizer(model)
+    plain.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    plain.save(str(tmp_path / "own.json"))
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcd ,.\n1", k=r.randint(0, 30))) for _ in range(300)] + ["ab abcd, ab", " abcd"]
+    assert Encoder(str(tmp_path / "own.json")).encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def expected(rows):
     plain, at, out = tokenizers.Tokenizer.from_file(PATH), 0, []
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
