@@ -72,6 +72,16 @@ def scanned(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+#: Bytes of scanned files for each task of a step whose memory grows faster than its rows.
+SHARE = 4 << 20
+
+
+def shares(*frames: DataFrame) -> int:
+    """Into how many parts such a step is dealt, so that a part stays as large on larger tables; 1 if that isn't known."""
+    size = sum(map(scanned, frames))
+    return max(1, -(-size // SHARE)) if size < 1 << 50 else 1
+
+
 def tasks(df: DataFrame) -> int:
     """Over how many tasks rows are dealt that each meet many others."""
     spark = df.sparkSession
@@ -564,7 +574,11 @@ class Join(Collection):
         return out.withColumn(DIFF, F.col(f"__l{DIFF}") * F.col(f"__r{DIFF}"))
 
     def _changes(self):
-        df = self._joined(self.inputs[0]._changes(), self.inputs[1]._changes(), self.times)
+        left, right = (x._changes() for x in self.inputs)
+        if self.left_keys and not self.null_safe and min(scanned(left), scanned(right)) > SMALL and (n := shares(left, right)) > 1:
+            # Pairs are added up where they are found, so a task's groups grow with its keys: keys are dealt over parts by size.
+            left, right = left.repartition(n, *self.left_keys), right.repartition(n, *self.right_keys)
+        df = self._joined(left, right, self.times)
         return df.select(*self.columns, *bound_columns(self.depth, "__l", "__r"), DIFF)
 
     @property
