@@ -870,7 +870,11 @@ def _has_history(node: Collection) -> bool:
 
 
 class Top(Collection):
-    """The first rows of each key; evaluated on the bag as of each point."""
+    """The first rows of each key; evaluated on the bag as of each point.
+
+    In one dimension a row's live spans are put to its key's times within a task.  Rows of a large table are dealt
+    over parts, and the changes of the parts' first rows, which are few, then compete: keys may be few and large.
+    """
 
     indexed = stateful = bag_coalesced = True
 
@@ -885,9 +889,27 @@ class Top(Collection):
 
     def _changes(self):
         df = self.inputs[0].changes()
+        if self.depth == 1:
+            if (n := shares(df)) > 1:
+                part = F.pmod(F.xxhash64(*self.columns), F.lit(n)).alias("__part")
+                df = self._along(df.select("*", part).repartition(n, "__part"), ["__part"])
+            return self._along(df, [])
         bags = as_of_grid(df, grid(df, self.keys, self.times), self.keys, self.columns, self.times)
         return differences(self._first(bags, [*self.keys, *self.times]), self.columns, self.times).select(*self.columns, *self.times, DIFF)
 
+    def _along(self, df: DataFrame, part: list[str]) -> DataFrame:
+        """The changes of the first rows of each key (and part)."""
+        keys = [*part, *self.keys]
+        own = Window.partitionBy(*part, *self.columns).orderBy("__t0")
+        every = Window.partitionBy(*keys)
+        count = F.sum(DIFF).over(own.rowsBetween(Window.unboundedPreceding, 0))
+        spans = df.select(*part, *self.columns, "__t0", count.alias("__n"), F.lead("__t0").over(own).alias("__until"))
+        timed = spans.withColumn("__times", F.array_sort(F.collect_set("__t0").over(every))).where("__n <> 0")
+        points = F.transform("__times", lambda t, i: F.struct(t.alias("t"), F.get(F.col("__times"), i + 1).alias("next")))
+        inside = F.filter(points, lambda p: (p["t"] >= F.col("__t0")) & (F.col("__until").isNull() | (p["t"] < F.col("__until"))))
+        bags = timed.select(*part, *self.columns, F.explode(inside).alias("__p")).select(*part, *self.columns, F.col("__p.t").alias("__t0"), F.col("__p.next").alias("__next__t0"))
+        return differences(self._first(bags, [*keys, "__t0"]), [*self.columns], self.times).select(*self.columns, "__t0", DIFF)
+
     def _bag(self, moments):
         return self._first(self.inputs[0].at(moments), [*self.keys, *moments.keys]).select(*self.columns, *moments.keys, DIFF)
 
