@@ -891,7 +891,7 @@ class Top(Collection):
         df = self.inputs[0].changes()
         if self.depth == 1:
             if (n := shares(df)) > 1:
-                part = F.pmod(F.xxhash64(*self.columns), F.lit(n)).alias("__part")
+                part = F.pmod(F.xxhash64(*self.columns), F.lit(16 * n)).alias("__part")  # many, so that hashing them loads tasks evenly
                 df = self._along(df.select("*", part).repartition(n, "__part"), ["__part"])
             return self._along(df, [])
         bags = as_of_grid(df, grid(df, self.keys, self.times), self.keys, self.columns, self.times)
